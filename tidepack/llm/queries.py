@@ -8,14 +8,20 @@ from pyspark.sql import DataFrame, SparkSession
 
 from . import oracles
 from .common import table
+from .packing import pack
 from .quality import quality
 
 
+def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(table(spark, sf_dir, "documents"))
+
+
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality(table(spark, sf_dir, "documents"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_packing": op1_packing,
     "op5_quality": op5_quality,
 }
 
