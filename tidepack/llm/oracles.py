@@ -1,3 +1,36 @@
 """DuckDB SQL for the queries that SQL can express."""
 
-ORACLES: dict[str, str] = {}
+#: Sainte-Lague of `total` seats among rows (g, k, share), as a CTE body that adds quota. Highest quotients are
+#: found here by generating more of them than any party can win.
+_SEATS = """
+  {name}_b as (select *, sum(share) over (partition by g) as s, max(total) over (partition by g) as t from {name}),
+  {name}_q as (select g, k, share / (2 * j.i + 1) as q, t, j.i from {name}_b, lateral (select unnest(generate_series(0, cast(ceil(case when s > 0 and t > 0 then share * t / s + 2 else 0 end * 1.2) as bigint) + 8)) as i) j where share > 0),
+  {name}_w as (select g, k, count(*) as quota from (select *, row_number() over (partition by g order by q desc, k, i) as r from {name}_q) where r <= t group by g, k),
+  {name}_s as (select b.*, coalesce(w.quota, 0) as quota from {name}_b b left join {name}_w w on b.g = w.g and b.k = w.k),
+"""
+
+OP7 = """
+with sized as (
+  select doc_id, source, coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0) as size, md5('mix-1:' || coalesce(cast(doc_id as varchar), '-')) as draw from documents),
+  src as (select source, sum(size)::bigint as source_size, row_number() over (order by source collate "binary" nulls last) as place from sized group by source),
+  w as (select *, case (place - 1) % 3 when 0 then 3 when 1 then 1 else 2 end as weight, 1.5::double * sum(source_size) over () as total from src),
+  r as (select *, 2 * source_size / weight as ratio from w),
+  l as (select *, (total - coalesce(sum(2 * source_size) over (order by ratio, place rows between unbounded preceding and 1 preceding), 0)) / sum(weight) over (order by ratio, place rows between current row and unbounded following) as level from r),
+  lv as (select min(level) as level from (select level, row_number() over (order by ratio, place) as o from l where level <= ratio) where o = 1),
+  tg as (select source, source_size, place, least((2 * source_size)::double, coalesce(weight * (select level from lv), 0.0))::double as target, total from l),
+  a as (select 0 as g, place as k, target as share, round(total / 64)::bigint as total, source, source_size, target from tg),
+""" + _SEATS.format(name="a") + """
+  so as (select *, greatest(1, ceil(source_size / 2097152))::bigint as shards from a_s),
+  pl as (select z.*, so.k as place, so.source_size, so.target, so.quota as source_quota, ('0x' || substr(draw, 1, 8))::bigint % so.shards as shard from sized z join so on z.source is not distinct from so.source),
+  c as (select place as g, shard as k, sum(size)::double as share, max(source_quota) as total from pl group by place, shard),
+""" + _SEATS.format(name="c") + """
+  sh as (select g, k, share::bigint as shard_size, least(quota * 64, 2 * share::bigint) as words, ('0x' || substr(md5('mix-1:' || g || ':' || k), 1, 8))::bigint % greatest(1, ceil(share / 64))::bigint * 64 as arc_from from c_s),
+  ar as (select *, case when shard_size > 0 then words // shard_size else 0 end as passes from sh),
+  lain as (select pl.*, coalesce(sum(size) over (partition by place, shard order by draw, doc_id, size rows between unbounded preceding and 1 preceding), 0) as pos from pl),
+  f as (select lain.*, ar.*, arc_from + words - passes * shard_size as arc_to from lain join ar on lain.place = ar.g and lain.shard = ar.k)
+select doc_id, size::bigint as size, source_size, target,
+  (passes * size + greatest(0, least(size, arc_to - pos)) - greatest(0, least(size, arc_from - pos)) + greatest(0, least(size, arc_to - shard_size - pos)))::bigint as taken
+from f
+"""
+
+ORACLES: dict[str, str] = {"op7_mixing": OP7}
