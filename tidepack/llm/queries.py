@@ -11,6 +11,7 @@ from .chat import read_back, render
 from .common import table
 from .licences import licences
 from .mixing import mix_documents
+from .neardup import near_duplicates
 from .packing import pack
 from .quality import quality
 
@@ -38,8 +39,13 @@ def op9_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licences(table(spark, sf_dir, "documents"))
 
 
+def op2_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
+    "op2_neardup": op2_neardup,
     "op4_chat": op4_chat,
     "op5_quality": op5_quality,
     "op7_mixing": op7_mixing,
