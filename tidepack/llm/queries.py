@@ -13,6 +13,7 @@ from .licences import licences
 from .mixing import mix_documents
 from .neardup import near_duplicates
 from .packing import pack
+from .pii import personal_data
 from .quality import quality
 
 
@@ -43,9 +44,14 @@ def op2_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return personal_data(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
     "op2_neardup": op2_neardup,
+    "op3_pii": op3_pii,
     "op4_chat": op4_chat,
     "op5_quality": op5_quality,
     "op7_mixing": op7_mixing,
