@@ -15,6 +15,7 @@ from .neardup import near_duplicates
 from .packing import pack
 from .pii import personal_data
 from .quality import quality
+from .scoring import score
 
 
 def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -48,6 +49,10 @@ def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return personal_data(table(spark, sf_dir, "documents"))
 
 
+def op10_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score(table(spark, sf_dir, "documents"), stored=True)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
     "op2_neardup": op2_neardup,
@@ -56,6 +61,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_quality": op5_quality,
     "op7_mixing": op7_mixing,
     "op9_licences": op9_licences,
+    "op10_scoring": op10_scoring,
 }
 
 ORACLES: dict[str, str] = oracles.ORACLES
