@@ -5,13 +5,16 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from . import oracles
 from .chat import read_back, render
 from .common import table
+from .language import languages
 from .licences import licences
 from .mixing import mix_documents
 from .neardup import near_duplicates
+from .neighbours import neighbours
 from .packing import pack
 from .pii import personal_data
 from .quality import quality
@@ -53,13 +56,23 @@ def op10_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score(table(spark, sf_dir, "documents"), stored=True)
 
 
+def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return languages(table(spark, sf_dir, "documents"))
+
+
+def op6_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
     "op2_neardup": op2_neardup,
     "op3_pii": op3_pii,
     "op4_chat": op4_chat,
     "op5_quality": op5_quality,
+    "op6_neighbours": op6_neighbours,
     "op7_mixing": op7_mixing,
+    "op8_language": op8_language,
     "op9_licences": op9_licences,
     "op10_scoring": op10_scoring,
 }
