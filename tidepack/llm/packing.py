@@ -18,7 +18,10 @@ in every column may swap places. Empty tables give no rows.
 
 from __future__ import annotations
 
+import itertools
 import os
+import re
+import struct
 import zlib
 from collections.abc import Iterator
 
@@ -31,48 +34,66 @@ from .common import map_arrow, materialize, pick, slices, texts_of
 
 CAPACITY, END_ID = 4096, 1
 #: Pieces of one size in a bucket that is ranked by one task; words whose ids a worker remembers.
-BUCKET_ROWS, REMEMBER = 20_000, 400_000
-_TAIL = b".,;:!?"
+BUCKET_ROWS, REMEMBER = 20_000, 1_000_000
+_SIMPLE = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?]*)")
+_END = b"\xff"
 _workers: dict[str, Words] = {}
 
 
+def _byte_letters() -> dict[str, int]:
+    """The letters that byte-level vocabularies write for bytes: printable ones stand for themselves, the rest
+    follow from code point 256 on."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in plain]
+    return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
+
+
 class Words:
     """Ids of whole texts. The vocabulary's rules never join characters across white space, so a text's ids are
-    its words' ids in order; words seen before are looked up."""
+    its words' ids in order; words seen before are looked up. Of new words, those of Latin letters and a tail of
+    punctuation need no normalising but lower case and no further splitting, so their parts go straight to a merge
+    engine with the same vocabulary, where a byte that no text holds marks the end of a word."""
 
     def __init__(self, vocabulary: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        from tiktoken import Encoding
         from tokenizers import Tokenizer
 
         self.model, self.known = Tokenizer.from_file(vocabulary), {}
+        letters = _byte_letters()
+        ranks = {}
+        for token, i in self.model.get_vocab(with_added_tokens=False).items():
+            core = token.removesuffix("</w>")
+            if all(c in letters for c in core):
+                ranks[bytes(letters[c] for c in core) + _END * (core != token)] = i
+        self.merge = Encoding("words", pat_str=r"(?s).+", mergeable_ranks=ranks, special_tokens={})._core_bpe.encode_single_piece
 
     def _learn(self, words: set[bytes]) -> None:
-        known = self.known
-        if len(known) > REMEMBER:
-            known.clear()
-        parts: dict[bytes, tuple[bytes, bytes]] = {}
+        known, merge, odd = self.known, self.merge, []
         for w in words:
-            core = w.rstrip(_TAIL)
-            if core and core != w and (core[-1:].isalnum() or (core[-1] >= 128 and core.decode()[-1].isalpha())):
-                parts[w] = (core if b"<|" in core else core.lower(), w[len(core) :])
-            elif b"<|" not in w and w.lower() != w:
-                parts[w] = (w.lower(), b"")
-        need = {p for pair in parts.values() for p in pair if p} | (words - parts.keys())
-        need = [p for p in need if p not in known]
-        for p, e in zip(need, self.model.encode_batch([p.decode() for p in need], add_special_tokens=False), strict=True):
-            known[p] = np.array(e.ids, "<u4").tobytes()
-        for w, (core, tail) in parts.items():
-            known[w] = known[core] + (known[tail] if tail else b"")
+            if simple := _SIMPLE.fullmatch(w.decode()):
+                core, tail = simple.groups()
+                ids = merge(core.lower().encode() + _END)
+                if tail:
+                    ids += merge(tail.encode() + _END)
+                known[w] = struct.pack(f"<{len(ids)}I", *ids)
+            else:
+                odd.append(w)
+        for w, e in zip(odd, self.model.encode_batch([w.decode() for w in odd], add_special_tokens=False) if odd else (), strict=True):
+            known[w] = struct.pack(f"<{len(e.ids)}I", *e.ids)
 
     def ids(self, texts: list[bytes]) -> Iterator[np.ndarray]:
-        per = [t.split() for t in texts]
-        if missing := set().union(*per) - self.known.keys():
-            self._learn(missing)
-            missing = set().union(*per) - self.known.keys()  # what a cleared memory has lost
-            if missing:
-                self._learn(missing)
-        for words in per:
-            yield np.frombuffer(b"".join(map(self.known.__getitem__, words)), "<u4")
+        known = self.known
+        for text in texts:
+            words = text.split()
+            parts = list(map(known.get, words))
+            if None in parts:
+                self._learn({w for w, p in zip(words, parts, strict=True) if p is None})
+                if len(known) > REMEMBER:
+                    self.known = known = dict(itertools.islice(known.items(), len(known) // 2, None))
+                    self._learn(set(words) - known.keys())
+                parts = map(known.__getitem__, words)
+            yield np.frombuffer(b"".join(parts), "<u4")
 
 
 def words_of(vocabulary: str | None) -> Words:
