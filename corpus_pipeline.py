@@ -1,27 +1,74 @@
-"""The corpus pipeline: each stage reads what the one before it kept, as Parquet."""
+"""The corpus pipeline: each stage reads what the one before it kept, as Parquet.
+
+Stages take (spark, docs, sf_dir) and return a DataFrame; all but the last return the columns of documents.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tidepack.llm.common import materialize, pick, table
-from tidepack.llm.quality import quality
+from tidepack.llm.mixing import mix_documents
+from tidepack.llm.neardup import near_duplicates
+from tidepack.llm.packing import pack
+from tidepack.llm.pii import redact
+from tidepack.llm.quality import keep_good
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    verdicts = quality(docs).filter("kept").select("doc_id")
-    return pick(docs, *COLUMNS).join(verdicts, "doc_id", "left_semi")
+    """Documents that pass the quality rules, as they are."""
+    return keep_good(pick(docs, *COLUMNS))
+
+
+def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates: that with the smallest id, once if its row is repeated. A
+    null id is a group of its own."""
+    docs = pick(docs, *COLUMNS)
+    kept = near_duplicates(docs).filter("kept").select(F.col("doc_id").alias("_id")).distinct()
+    kept = docs.join(kept, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
+    return kept.groupBy("doc_id").agg(F.min(F.struct(*COLUMNS[1:])).alias("d")).select("doc_id", "d.*")
+
+
+def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, personal data masked."""
+    return redact(pick(docs, *COLUMNS))
+
+
+def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the mix takes them: whole copies, and where a block's edge lies in a document, the
+    words on the taken side of it with the white space between them."""
+    mixed = mix_documents(pick(docs, *COLUMNS), carry=("text", "lang", "source", "n_chars"))
+    copies = F.array_repeat(F.struct(F.lit(0).cast("long").alias("a"), F.col("size").alias("b")), F.col("passes").cast("int"))
+    parts = F.array(*(F.struct(F.col(f"from{i}").alias("a"), F.col(f"to{i}").alias("b")) for i in (1, 2)))
+    takes = F.filter(F.concat(copies, parts), lambda p: p["a"] < p["b"])
+    df = mixed.withColumn("take", F.explode(takes))
+    # each element is a word with the white space behind it
+    words = F.split(F.regexp_replace("text", r"^[\x20\x09-\x0D]+", ""), r"(?<=[\x20\x09-\x0D])(?=[^\x20\x09-\x0D])")
+    cut = F.concat_ws("", F.slice(words, F.col("take.a").cast("int") + 1, (F.col("take.b") - F.col("take.a")).cast("int")))
+    whole = (F.col("take.a") == 0) & (F.col("take.b") == F.col("size"))
+    text = F.when(whole, F.col("text")).otherwise(cut)
+    return df.select("doc_id", text.alias("text"), "lang", "source", F.char_length(text).cast("long").alias("n_chars"))
+
+
+def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every piece of every document with its sequence and offset there."""
+    return pack(docs)
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
     ("quality", quality_stage),
+    ("near_dedup", near_dedup_stage),
+    ("pii", pii_stage),
+    ("mixing", mixing_stage),
+    ("packing", packing_stage),
 ]
 
-#: Hash signatures, tokenizers and learned patterns have no SQL form; tests/llm compare run() with brute force.
+#: Register signatures, tokenizers and learned patterns have no SQL form; tests/llm compare run() with brute force.
 ORACLE_SQL = None
 
 
