@@ -59,32 +59,38 @@ KNOWN = (
     ("BSD-2-Clause", 'Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.'),
     ("Unlicense", "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means."),
 )
-#: What leads to the canonical form, one after another; \n stays until lines are taken apart. The patterns mean
-#: the same in Java and in RE2.
+#: After lower case, what leads to the canonical form, one after another; \n stays until lines are taken apart. The
+#: patterns mean the same in Java and in RE2. Runs are written so that single spaces need no replacing.
+_MARKS = "!-/:-@\\[-`{-~©–—‘’“”\t\x0b\x0c\r"
 RULES = (
-    ("[\t\x0b\x0c\r ]+", " "),
-    ("(^|\n) ?(copyright|\\(c\\)|©) ?[^\n]*", "$1"),
-    ("(^|\n) ?all rights reserved[^\n]*", "$1"),
-    ("[!-/:-@\\[-`{-~©–—‘’“”]+", " "),
-    (" +", " "),
+    ("(^|\n)[ \t\x0b\x0c\r]*(?:copyright|\\(c\\)|©|all rights reserved)[^\n]*", "$1"),
+    (f" ?[{_MARKS}][ {_MARKS}]*|  +", " "),
     *((f"(^|[ \n]){a}", f"$1{b}") for a, b in EQUIVALENT),
 )
+_JOIN = " ?\n[ \n]*"
+
+
+def _any_spelling() -> str:
+    """A pattern that finds whether any spelling has to change, by first letters."""
+    rest: dict[str, list[str]] = {}
+    for a, _ in EQUIVALENT:
+        rest.setdefault(a[0], []).append(a[1:])
+    return f"(?:^|[ \n])(?=[{''.join(rest)}])(?:{'|'.join(f'{k}(?:{'|'.join(v)})' for k, v in rest.items())})"
 
 
 def canonical_lines(text: Column) -> Column:
     """The canonical form, still with its line ends."""
-    out = F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-    for pattern, put in RULES[:5]:
+    out = F.lower(text)
+    for pattern, put in RULES[:2]:
         out = F.regexp_replace(out, pattern, put)
-    # one pass tells whether any spelling has to change; few texts need the passes of their own
     spelled = out
-    for pattern, put in RULES[5:]:
+    for pattern, put in RULES[2:]:
         spelled = F.regexp_replace(spelled, pattern, put)
-    return F.when(F.rlike(out, F.lit("|".join(p for p, _ in RULES[5:]))), spelled).otherwise(out)
+    return F.when(F.rlike(out, F.lit(_any_spelling())), spelled).otherwise(out)
 
 
 def joined(text: Column) -> Column:
-    return F.trim(F.regexp_replace(text, "[ \n]+", " "))
+    return F.trim(F.regexp_replace(text, _JOIN, " "))
 
 
 def digest(text: Column) -> Column:
@@ -107,9 +113,11 @@ def licences(docs: DataFrame, known: tuple[tuple[str, str], ...] = KNOWN) -> Dat
     pairs = known_digests(spark, known)
     table = spark.createDataFrame(pairs, "known_digest string, whole_licence string")
     lines = docs.select("doc_id", canonical_lines(F.col("text")).alias("text"))
-    parts = F.array_union(F.split("text", "\n *\n"), F.split("text", "\n"))
+    # a text without blank lines is its own paragraph, which is looked up as the entire text
+    paragraphs = F.when(F.rlike("text", F.lit("\n *\n")), F.transform(F.split("text", "\n *\n"), joined)).otherwise(F.array().cast("array<string>"))
+    parts = F.concat(paragraphs, F.transform(F.split("text", "\n"), lambda p: F.trim(p)))
     names = F.create_map(*[F.lit(x) for pair in pairs for x in pair])
-    hits = F.filter(F.transform(parts, lambda p: F.md5(joined(p).cast("binary"))), lambda d: d.isin([d for d, _ in pairs]))
+    hits = F.filter(F.transform(parts, lambda p: F.md5(p.cast("binary"))), lambda d: d.isin([d for d, _ in pairs]))
     df = lines.select("doc_id", digest(joined(F.col("text"))).alias("digest"), F.transform(F.coalesce(hits, F.array().cast("array<string>")), lambda d: names[d]).alias("parts"))
     df = df.join(F.broadcast(table), F.col("digest") == F.col("known_digest"), "left")
     found = F.array_sort(F.array_distinct(F.array_compact(F.array_append("parts", F.col("whole_licence")))))
@@ -118,7 +126,11 @@ def licences(docs: DataFrame, known: tuple[tuple[str, str], ...] = KNOWN) -> Dat
 
 def sql_canonical(column: str) -> str:
     """The canonical form, with line ends, in DuckDB SQL."""
-    out = f"translate({column}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    out = f"lower({column})"
     for pattern, put in RULES:
         out = f"regexp_replace({out}, '{pattern.replace(chr(39), chr(39) * 2)}', '{re.sub(r'[$](\d)', r'\\\1', put)}', 'g')"
     return out
+
+
+def sql_joined(column: str) -> str:
+    return f"trim(regexp_replace({column}, '{_JOIN}', ' ', 'g'))"

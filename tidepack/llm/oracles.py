@@ -1,6 +1,6 @@
 """DuckDB SQL for the queries that SQL can express."""
 
-from .licences import KNOWN, sql_canonical
+from .licences import KNOWN, sql_canonical, sql_joined
 
 #: Sainte-Lague of `total` seats among rows (g, k, share), as a CTE body that adds quota. Highest quotients are
 #: found here by generating more of them than any party can win.
@@ -51,14 +51,14 @@ from c group by conv_id
 _LINES, _JOIN = sql_canonical("text"), "trim(regexp_replace({}, '[ \n]+', ' ', 'g'))"
 _KNOWN = ", ".join("({}, '{}', '{}')".format(i, name, text.replace("'", "''")) for i, (name, text) in enumerate(KNOWN))
 OP9 = f"""
-with k as (select i, licence, md5({_JOIN.format(_LINES)}) as d from (values {_KNOWN}) as v(i, licence, text)),
+with k as (select i, licence, md5({sql_joined(_LINES)}) as d from (values {_KNOWN}) as v(i, licence, text)),
   known as (select d, arg_min(licence, i) as licence from k group by d),
   c as (select row_number() over () as n, doc_id, {_LINES} as text from documents),
-  w as (select n, doc_id, {_JOIN.format('text')} as whole, text from c),
+  w as (select n, doc_id, {sql_joined('text')} as whole, text from c),
   p as (
     select n, md5(whole) as d from w where whole <> ''
-    union select n, md5({_JOIN.format('part')}) from (select n, unnest(regexp_split_to_array(text, '\n *\n')) as part from c)
-    union select n, md5({_JOIN.format('part')}) from (select n, unnest(string_split(text, chr(10))) as part from c)),
+    union select n, md5({sql_joined('part')}) from (select n, unnest(regexp_split_to_array(text, '\n *\n')) as part from c)
+    union select n, md5({sql_joined('part')}) from (select n, unnest(string_split(text, chr(10))) as part from c)),
   f as (select n, string_agg(distinct licence, ',' order by licence) as licences from p join known using (d) group by n)
 select w.doc_id, case when whole <> '' then md5(whole) end as digest, known.licence as whole_licence, coalesce(f.licences, '') as licences
 from w left join known on whole <> '' and md5(whole) = known.d left join f on f.n = w.n
