@@ -6,43 +6,7 @@ from collections import Counter
 import numpy as np
 import pytest
 from tidepack.llm import scoring
-from tidepack.llm.scoring import Spelling, score, spelled
-
-
-def plain_spelling(types):
-    """Weights of spelled words from counts of (two bytes, byte), one step at a time."""
-    tri = Counter()
-    for w, n in types.items():
-        s = b"  " + w + b" "
-        for i in range(len(s) - 2):
-            tri[s[i : i + 3]] += n
-    one, two, ctx = Counter(), Counter(), Counter()
-    for k, n in tri.items():
-        one[k[2]] += n
-        two[k[1:]] += n
-        ctx[k[:2]] += n
-    one_total, two_ctx = sum(one.values()), Counter()
-    for k, n in two.items():
-        two_ctx[k[0]] += n
-    p1 = lambda b: (one[b] + 1) / (one_total + 256)
-
-    def p2(a, b):
-        if not two_ctx[a]:
-            return p1(b)
-        left = 1 - sum(max(n - 0.5, 0) for k, n in two.items() if k[0] == a) / two_ctx[a]
-        return max(two[bytes([a, b])] - 0.5, 0) / two_ctx[a] + left * p1(b)
-
-    def p3(a, b, c):
-        k = bytes([a, b, c])
-        if tri[k]:
-            return (tri[k] - 0.5) / ctx[k[:2]]
-        if not ctx[k[:2]]:
-            return p2(b, c)
-        seen = [x for x in tri if x[:2] == k[:2]]
-        left = 1 - sum(tri[x] - 0.5 for x in seen) / ctx[k[:2]]
-        return left / (1 - sum(p2(b, x[2]) for x in seen)) * p2(b, c)
-
-    return lambda w: sum(math.log10(p3(*(b"  " + w + b" ")[i : i + 3])) for i in range(len(w) + 1))
+from tidepack.llm.scoring import Automaton, score
 
 
 def plain_scores(rows, share):
@@ -53,8 +17,7 @@ def plain_scores(rows, share):
     total, v = sum(c.values()), len(c)
     heads = {w for w, n in c.items() if n >= total * share}
     pairs = Counter(p for ws in train for p in zip([b"", *ws], ws) if p[0] in heads and p[1] in heads)
-    spell = plain_spelling({w: n for w, n in c.items() if w})
-    root = lambda w: math.log10((c[w] - 0.5) / total) if c[w] else math.log10(0.5 * v / total) + spell(w)
+    root = lambda w: math.log10((c[w] - 0.5) / total) if c[w] else math.log10(0.5 * v / total)
 
     def step(a, w):
         if a not in heads:
@@ -88,14 +51,20 @@ def test_scores_against_plain_python(spark, monkeypatch):
     assert [g[6] for g in got] == pytest.approx([w[6] for w in want])
 
 
-def test_spelling_is_a_distribution():
-    keys, _ = spelled([b"abc", b"abd", b"\xff", b"b"])
-    found, n = np.unique(keys, return_counts=True)
-    model = Spelling.of(found, n)
-    for context in (0x2020, ord("a") << 8 | ord("b"), 0x6161):
-        arcs = dict(zip(model.keys.tolist(), model.weight.tolist(), strict=True))
-        total = sum(10 ** arcs.get(context << 8 | b, model.fail[context] + model.lower[(context & 255) << 8 | b]) for b in range(256))
-        assert total == pytest.approx(1)
+def test_arcs_of_a_state_add_up_to_one():
+    heads = {7: 5, 9: 3, -2: 4}
+    model = Automaton.of(20, 11, heads, {(0, 1): 3, (0, 0): 1, (2, 2): 2, (1, 0): 4})
+    rest = np.array([1] * 8)  # words that are no heads
+    root = model.root(np.concatenate([[heads[h] for h in model.heads.tolist()], rest, [0]]))
+    assert (10**root).sum() == pytest.approx(1)
+    for a in range(3):
+        arcs = [10 ** (model.arcs[a, b] if b < 3 and not np.isnan(model.arcs[a, b]) else model.fail[a] + root[b]) for b in range(len(root))]
+        assert sum(arcs) == pytest.approx(1)
+
+
+def test_held_out_texts_score_better_than_the_base(spark):
+    got = score(spark.read.parquet("/root/testdata/sf0.001/documents.parquet"), stored=True).filter("held_out").collect()
+    assert got and sum(r.score for r in got) > sum(r.base_score for r in got)
 
 
 def test_scoring_empty(spark):

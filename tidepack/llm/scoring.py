@@ -4,18 +4,17 @@ States and arcs, with log10 weights (absolute discounting at every level):
 - a state for each head word, a word of at least 2 ** -10 of all tokens, so there are 1024 of them at most. Its arcs
   are the head words seen after it; its failure arc, with the backoff weight, leads to the root;
 - the root. Its arcs are all words of the training texts; its failure arc, with the mass that discounting frees,
-  leads to the spelling states, from which unknown words are spelled byte by byte;
-- spelling states: two bytes of context, arcs for bytes seen there, failure arcs to one byte of context and on to
-  none. There are 2 ** 16 states and 2 ** 24 arcs at most, and an unknown word ends in the root.
+  reads one unknown word, whichever it is, and comes back to the root.
 One traversal from left to right adds the weights and carries the state: the head word just read, or the root.
+The events are those of the base: the words of the training texts, the end, and "unknown".
 
-What is sent to every task (head words, their arcs, spelling arcs) has these bounds whatever the corpus. The root's
-arcs do not: a block of documents, a part of one input file, asks for the counts of its own words. Partial counts
+What is sent to every task (head words and their arcs, 2 ** 20 at most) is bounded whatever the corpus. The root's
+arcs are not: a block of documents, a part of one input file, asks for the counts of its own words. Partial counts
 by block are summed by word, and each block's words go back to it with their totals; in one pass over the blocks
 each reads its words and then its texts.
 
 Words are hashed to 64 bits. Null and empty texts are the end token alone. A null id belongs to the training
-texts. Repeated rows count as often as they occur. Without training tokens the base is log10(1) = 0 a token.
+texts. Repeated rows count as often as they occur. Without training tokens every token weighs log10(1) = 0.
 """
 
 from __future__ import annotations
@@ -46,57 +45,6 @@ def tokens(text: bytes) -> list[bytes]:
     return [*text.lower().split(), END]
 
 
-@dataclass
-class Spelling:
-    """Arcs of the spelling states. A word is spelled from two spaces to a closing space."""
-
-    keys: np.ndarray  # context and byte, sorted
-    weight: np.ndarray
-    fail: np.ndarray  # by two bytes of context
-    lower: np.ndarray  # by one byte of context and byte, with its own failure folded in
-
-    @staticmethod
-    def of(keys: np.ndarray, n: np.ndarray) -> Spelling:
-        order = np.argsort(keys)
-        keys, n = keys[order].astype(np.int64), n[order].astype(float)
-        first = np.bincount(keys & 255, n, 256)
-        first = (first + 1) / (first.sum() + 256)
-        pair = np.bincount(keys & 0xFFFF, n, 1 << 16).reshape(256, 256)
-        total = np.maximum(pair.sum(axis=1, keepdims=True), 1)
-        seen = np.maximum(pair - DISCOUNT, 0) / total
-        lower = seen + np.where(pair.sum(axis=1, keepdims=True) > 0, 1 - seen.sum(axis=1, keepdims=True), 1) * first[None]
-        context = keys >> 8
-        of_context = np.bincount(context, n, 1 << 16)
-        share = np.maximum(n - DISCOUNT, 0) / np.maximum(of_context[context], 1)
-        left = 1 - np.bincount(context, share, 1 << 16)
-        free = 1 - np.bincount(context, lower.ravel()[keys & 0xFFFF], 1 << 16)
-        fail = np.where(of_context > 0, left / np.maximum(free, 1e-9), 1)
-        return Spelling(keys, np.log10(np.maximum(share, 1e-30)), np.log10(np.clip(fail, 1e-30, 1e9)), np.log10(lower.ravel()))
-
-    def words(self, words: list[bytes]) -> np.ndarray:
-        """log10 weights of the paths that spell the words."""
-        if not words:
-            return np.zeros(0)
-        keys, ends = spelled(words)
-        at = np.minimum(np.searchsorted(self.keys, keys), max(len(self.keys) - 1, 0))
-        hit = self.keys[at] == keys if len(self.keys) else np.zeros(len(keys), bool)
-        each = np.where(hit, self.weight[at] if len(self.keys) else 0, self.fail[keys >> 8] + self.lower[keys & 0xFFFF])
-        return np.add.reduceat(each, np.concatenate([[0], ends[:-1]]))
-
-
-def spelled(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """The arcs (context and byte) that spell words, one after another, and where each word's end."""
-    b = np.frombuffer(b"  " + b"   ".join(words) + b" ", np.uint8).astype(np.int32)
-    keys = b[:-2] << 16 | b[1:-1] << 8 | b[2:]
-    n = np.fromiter(map(len, words), np.int64, len(words)) + 1
-    ends = np.cumsum(n)
-    # between two words two windows belong to none
-    keep = np.ones(len(keys), bool)
-    gaps = ends[:-1] + 2 * np.arange(len(words) - 1)
-    keep[gaps] = keep[gaps + 1] = False
-    return keys[keep].astype(np.int64), ends
-
-
 @dataclass
 class Automaton:
     total: int  # training tokens
@@ -104,10 +52,9 @@ class Automaton:
     heads: np.ndarray  # hashes, sorted
     arcs: np.ndarray  # head x head, nan where there is none
     fail: np.ndarray  # by head
-    spelling: Spelling
 
     @staticmethod
-    def of(total: int, distinct: int, heads: dict[int, int], pairs: dict[tuple[int, int], int], spelling: Spelling) -> Automaton:
+    def of(total: int, distinct: int, heads: dict[int, int], pairs: dict[tuple[int, int], int]) -> Automaton:
         hashes = np.array(sorted(heads), np.int64)
         count = np.array([heads[h] for h in hashes.tolist()], float)
         n = np.zeros((len(hashes), len(hashes)))
@@ -117,14 +64,13 @@ class Automaton:
         root = np.maximum(count - DISCOUNT, 0) / max(total, 1)
         free = 1 - ((n > 0) * root[None]).sum(axis=1)
         fail = np.log10(np.clip(1 - share.sum(axis=1), 1e-30, 1) / np.maximum(free, 1e-9))
-        return Automaton(total, distinct, hashes, np.where(n > 0, np.log10(np.maximum(share, 1e-30)), np.nan), fail, spelling)
+        return Automaton(total, distinct, hashes, np.where(n > 0, np.log10(np.maximum(share, 1e-30)), np.nan), fail)
 
-    def root(self, words: list[bytes], counts: np.ndarray) -> np.ndarray:
-        """Weights of words read from the root."""
-        known = counts > 0
-        out = np.log10(np.where(known, counts - DISCOUNT, 1) / max(self.total, 1))
-        out[~known] = np.log10(min(DISCOUNT * self.distinct / max(self.total, 1), 1) or 1) + self.spelling.words([w for w, k in zip(words, known, strict=True) if not k])
-        return out
+    def root(self, counts: np.ndarray) -> np.ndarray:
+        """Weights of words read from the root, by their training counts."""
+        if not self.total:
+            return np.zeros(len(counts))
+        return np.log10(np.where(counts > 0, counts - DISCOUNT, DISCOUNT * self.distinct) / self.total)
 
     def path(self, root: np.ndarray, head: np.ndarray, end: int) -> float:
         """The weight of a text's path. root: weights from the root; head: places among the heads, -1 if none;
@@ -145,28 +91,19 @@ def _place(heads: np.ndarray, hashes: np.ndarray) -> np.ndarray:
 
 
 def _counted(docs: DataFrame) -> DataFrame:
-    """Partial counts: block, key, n. block -1: spelling arcs."""
+    """Partial counts in training texts: block, key, n; n is 0 for words of other texts only."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         by: dict[int, tuple[Counter, set]] = {}
         for batch in slices(batches):
             for block, held, text in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), texts_of(batch), strict=True):
                 train, asked = by.setdefault(block, (Counter(), set()))
-                if held:
-                    asked.update(tokens(text))
-                else:
-                    train.update(tokens(text))
-        spell: Counter = Counter()
+                (asked if held else train).update(tokens(text))
         for block, (train, asked) in by.items():
             words = [*train, *(asked - train.keys())]
-            n = np.fromiter(train.values(), np.int64, len(train))
-            if some := [(w, c) for w, c in train.items() if w]:
-                keys, ends = spelled([w for w, _ in some])
-                weights = np.repeat([c for _, c in some], np.diff(ends, prepend=0))
-                found, at = np.unique(keys, return_inverse=True)
-                spell.update(dict(zip(found.tolist(), np.bincount(at, weights).astype(np.int64).tolist(), strict=True)))
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(words), block)), pa.array(np.fromiter(map(word_hash, words), np.int64, len(words))), pa.array(np.concatenate([n, np.zeros(len(words) - len(n), np.int64)]))], names=["block", "key", "n"])
-        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(spell), -1)), pa.array(list(spell), pa.int64()), pa.array(list(spell.values()), pa.int64())], names=["block", "key", "n"])
+            n = np.zeros(len(words), np.int64)
+            n[: len(train)] = np.fromiter(train.values(), np.int64, len(train))
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(words), block)), pa.array(np.fromiter(map(word_hash, words), np.int64, len(words))), pa.array(n)], names=["block", "key", "n"])
 
     return map_arrow(docs, run, "block long, key long, n long")
 
@@ -216,17 +153,14 @@ def score(docs: DataFrame, stored: bool = False) -> DataFrame:
     docs = docs.select(block.alias("block"), "doc_id", held_out(F.col("doc_id")).alias("held"), "text")
 
     partial = materialize(_counted(docs.select("block", "doc_id", "held", "text")), "partial")
-    words = partial.filter("block >= 0")
-    counts = materialize(words.groupBy("key").agg(F.sum("n").alias("c")), "counts")
+    counts = materialize(partial.groupBy("key").agg(F.sum("n").alias("c")), "counts")
     sums = counts.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("total"), F.count(F.when(F.col("c") > 0, 1)).alias("distinct")).first()
     heads = {r.key: r.c for r in counts.filter((F.col("c") > 0) & (F.col("c") >= sums.total * HEAD_SHARE)).collect()}
-    arcs = partial.filter("block < 0").groupBy("key").agg(F.sum("n").alias("n")).toArrow()
-    spelling = Spelling.of(arcs.column("key").to_numpy(), arcs.column("n").to_numpy())
     ordered = np.array(sorted(heads), np.int64)
     pairs = _head_pairs(docs.filter("not held").select("doc_id", "text"), ordered).groupBy("a", "b").agg(F.sum("n").alias("n"))
-    model = Automaton.of(sums.total, sums.distinct, heads, {(r.a, r.b): r.n for r in pairs.collect()}, spelling)
+    model = Automaton.of(sums.total, sums.distinct, heads, {(r.a, r.b): r.n for r in pairs.collect()})
 
-    asked = words.select("block", "key").join(counts, "key").select("block", "key", "c")
+    asked = partial.select("block", "key").join(counts, "key").select("block", "key", "c")
     none = lambda t: F.lit(None).cast(t)
     both = asked.select("block", F.lit(0).alias("kind"), "key", "c", none("long").alias("doc_id"), none("boolean").alias("held"), none("string").alias("text"))
     both = both.unionByName(docs.select("block", F.lit(1).alias("kind"), none("long").alias("key"), none("long").alias("c"), "doc_id", "held", "text"))
@@ -257,7 +191,7 @@ class _Reader:
             self.known.clear()
         h = np.fromiter(map(word_hash, words), np.int64, len(words))
         c = self.counts[np.searchsorted(self.keys, h)]
-        root, head = self.model.root(words, c), _place(self.model.heads, h)
+        root, head = self.model.root(c), _place(self.model.heads, h)
         base = np.log10(c + 1) - self.unit
         self.known.update(zip(words, zip(root.tolist(), base.tolist(), head.tolist(), (c > 0).tolist(), strict=True), strict=True))
 
