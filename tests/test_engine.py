@@ -166,3 +166,29 @@ def test_stream(spark, tmp_path):
     assert segments.count() == 12 and plan_history(segments).count() >= 3
     back = decompress_table(segments, column_types(df, "row_idx"), batch=750)
     assert sorted(map(tuple, back.collect())) == sorted(map(tuple, df.collect()))
+
+
+def test_blobs_and_bits(spark):
+    from tidepack.functions import blobs
+
+    blobs.register(spark)
+    df = spark.createDataFrame([([1.5, 2.5, 2.5, float("nan")], 1.0), ([], -0.0), (None, -2.25)], "v array<double>, f double")
+    for plan in (None, "gfc", "rle(afl, none)"):
+        got = df.select("v", blobs.decode_blob(blobs.encode_blob(F.col("v"), "double", plan)).alias("w")).collect()
+        assert [str(r.v) for r in got] == [str(r.w) for r in got]
+    bits = df.select(blobs.float_bits(F.col("f")).alias("b")).withColumn("p", blobs.bit_fields(F.col("b"))).withColumn("f", blobs.bits_float(F.col("b")))
+    assert [(r.p.sign, r.p.exponent, r.p.mantissa, str(r.f)) for r in bits.collect()] == [(0, 127, 0, "1.0"), (1, 0, 0, "-0.0"), (1, 128, 1 << 20, "-2.25")]
+    spark.createDataFrame([([3.0, 4.0],)], "v array<double>").createOrReplaceTempView("blobs_test")
+    rows = spark.sql("select at, value from (select encode_blob(v) as b from blobs_test) t, lateral decode_segment(t.b)").collect()
+    assert [(r.at, r.value) for r in rows] == [(0, 3.0), (1, 4.0)]
+
+
+def test_settings(tmp_path, monkeypatch):
+    from tidepack.config import Settings
+
+    (tmp_path / "c.ini").write_text("[tidepack]\nbatch = 50\nmode = adaptive\n")
+    monkeypatch.setenv("TIDEPACK_BATCH", "60")
+    assert Settings.load(str(tmp_path / "c.ini")) == Settings(60, "adaptive")
+    assert Settings.load(None, batch=70).batch == 70
+    with pytest.raises(ValueError):
+        Settings.load(None, other=1)

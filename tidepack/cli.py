@@ -6,6 +6,7 @@ import argparse
 
 from pyspark.sql import SparkSession
 
+from .config import Settings
 from .operators.segments import compress_table, decompress_table, read_segments, write_segments
 from .plans.tree import Plan
 from .sources import files, generators
@@ -26,12 +27,14 @@ def main(args: list[str] | None = None, spark: SparkSession | None = None) -> in
             p.add_argument("--format", choices=("bin", "csv"), default="bin")
             p.add_argument("--padding", type=int, default=0)
         if name in ("compress", "decompress"):
-            p.add_argument("--batch", type=int, default=1_000_000)
+            p.add_argument("--batch", type=int)
         if name == "compress":
-            p.add_argument("--mode", choices=("independent", "adaptive"), default="independent")
+            p.add_argument("--mode", choices=("independent", "adaptive"))
             p.add_argument("--plan", help="a fixed plan, such as scale(delta(afl))")
+        p.add_argument("--config", help="an INI file with a section [tidepack]")
     o = parser.parse_args(args)
-    spark = spark or SparkSession.builder.appName("tidepack").getOrCreate()
+    settings = Settings.load(o.config, batch=getattr(o, "batch", None), mode=getattr(o, "mode", None))
+    spark = settings.apply(spark or SparkSession.builder.appName("tidepack").getOrCreate())
 
     def write(df, schema, path):
         if o.format == "csv":
@@ -46,10 +49,10 @@ def main(args: list[str] | None = None, spark: SparkSession | None = None) -> in
     elif o.command == "compress":
         schema = read_header(spark, o.header)
         df = files.read_csv(spark, o.input, schema) if o.format == "csv" else files.read_binary(spark, o.input, render_header(schema), o.padding)
-        write_segments(compress_table(df, "row_idx", o.batch, o.mode, o.plan and Plan.parse(o.plan)), o.output)
+        write_segments(compress_table(df, "row_idx", settings.batch, settings.mode, o.plan and Plan.parse(o.plan)), o.output)
     elif o.command == "decompress":
         schema = read_header(spark, o.header)
-        write(decompress_table(read_segments(spark, o.input), dtypes_of(schema), batch=o.batch), schema, o.output)
+        write(decompress_table(read_segments(spark, o.input), dtypes_of(schema), batch=settings.batch), schema, o.output)
     else:
         segments = read_segments(spark, o.input)
         segments.select("column", "part", "n_rows", "raw_bytes", "enc_bytes", "ratio", "plan").orderBy("column", "part").show(1000, False)
