@@ -35,6 +35,21 @@ select doc_id, size::bigint as size, source_size, target,
 from f
 """
 
+#: All pairs that share a shingle, counted in full, and the closure of the links.
+OP2 = """
+with recursive
+  w as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') as a from documents),
+  sh as (select distinct doc_id, s from (select doc_id, unnest(case when len(a) = 0 then [] when len(a) < 3 then [array_to_string(a, ' ')] else list_transform(range(1, len(a) - 1), lambda i: a[i] || ' ' || a[i + 1] || ' ' || a[i + 2]) end) as s from w)),
+  n as (select doc_id, count(*) as n from sh group by doc_id),
+  c as (select x.doc_id as u, y.doc_id as v, count(*) as c from sh x join sh y on x.s = y.s and x.doc_id < y.doc_id group by x.doc_id, y.doc_id),
+  l as (select u, v from c join n a on u = a.doc_id join n b on v = b.doc_id where 100 * c >= 85 * (a.n + b.n - c)),
+  e as (select u, v from l union all select v, u from l),
+  r(doc_id, comp) as (select doc_id, doc_id from documents union select e.v, r.comp from r join e on r.doc_id = e.u),
+  m as (select doc_id, min(comp) as component_id from r group by doc_id)
+select d.doc_id, coalesce(n.n, 0) as n_shingles, component_id, d.doc_id = component_id as kept
+from documents d left join n using (doc_id) join m using (doc_id)
+"""
+
 _ESCAPED = r"regexp_replace(regexp_replace(text, '\[(\\*/?INST\])', '[\\\1', 'g'), '<(\\*/?s>)', '<\\\1', 'g')"
 OP4 = f"""
 with c as (
@@ -64,4 +79,4 @@ select w.doc_id, case when whole <> '' then md5(whole) end as digest, known.lice
 from w left join known on whole <> '' and md5(whole) = known.d left join f on f.n = w.n
 """
 
-ORACLES: dict[str, str] = {"op4_chat": OP4, "op7_mixing": OP7, "op9_licences": OP9}
+ORACLES: dict[str, str] = {"op2_neardup": OP2, "op4_chat": OP4, "op7_mixing": OP7, "op9_licences": OP9}
