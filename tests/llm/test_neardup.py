@@ -2,19 +2,20 @@ import random
 
 import numpy as np
 import pytest
+from tidepack.llm import components as graph
 from tidepack.llm.components import components
 from tidepack.llm.neardup import Near, bands, estimate, near_duplicates, registers, shingles
 
 
-def plain(text):
+def plain(text, width):
     words = (text or "").encode().lower().split()
-    if len(words) < 3:
+    if len(words) < width:
         return {tuple(words)} if words else set()
-    return {tuple(words[i : i + 3]) for i in range(len(words) - 2)}
+    return {tuple(words[i : i + width]) for i in range(len(words) - width + 1)}
 
 
-def brute(rows):
-    sets = [plain(t) for _, t, *_ in rows]
+def brute(rows, percent=85, width=3):
+    sets = [plain(t, width) for _, t, *_ in rows]
     parent = list(range(len(rows)))
 
     def root(i):
@@ -25,7 +26,7 @@ def brute(rows):
     for i in range(len(rows)):
         for j in range(i):
             both = len(sets[i] & sets[j])
-            if sets[i] and sets[j] and 100 * both >= 85 * len(sets[i] | sets[j]):
+            if sets[i] and sets[j] and 100 * both >= percent * len(sets[i] | sets[j]):
                 a, b = root(i), root(j)
                 if a != b:
                     parent[max(a, b, key=lambda k: rows[k][0])] = min(a, b, key=lambda k: rows[k][0])
@@ -39,8 +40,8 @@ def edited(rng, words, n):
     return words
 
 
-@pytest.mark.parametrize("direct", [2.0, 0.0])
-def test_components_against_brute_force(spark, direct):
+@pytest.mark.parametrize("block", [512, 7])
+def test_components_against_brute_force(spark, block):
     rng = random.Random(8)
     texts = [None, "", " \n", "a", "A", "a b", "b a", "É b", "é b"]
     shared = [f"s{i}" for i in range(60)]
@@ -56,7 +57,7 @@ def test_components_against_brute_force(spark, direct):
     texts.append(" ".join(str(rng.random()) for _ in range(20_000)))
     rows = [(i * 3 % 1009, t, 5) for i, t in enumerate(texts)]
     rows += rows[20:24]
-    got = near_duplicates(spark.createDataFrame(rows, "doc_id long, text string, n_shingles int"), Near(direct=direct)).collect()
+    got = near_duplicates(spark.createDataFrame(rows, "doc_id long, text string, n_shingles int"), Near(block=block)).collect()
     assert sorted((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in got) == brute(rows)
 
 
@@ -80,7 +81,8 @@ def test_estimates_and_bands():
     assert max(map(abs, errors)) < 6 and hits == 90
 
 
-def test_connected_components(spark):
+@pytest.mark.parametrize("local", [0, 1 << 20])
+def test_connected_components(spark, monkeypatch, local):
     rng = random.Random(10)
     edges = [(i, i + 1) for i in range(100, 140)] + [(7, i) for i in range(200, 260)] + [(rng.randint(300, 400), rng.randint(300, 400)) for _ in range(60)]
     parent = {}
@@ -95,6 +97,7 @@ def test_connected_components(spark):
         a, b = root(u), root(v)
         if u != v:
             parent[max(a, b)] = min(a, b)
+    monkeypatch.setattr(graph, "LOCAL", local)
     got = {r.node: r.component for r in components(spark.createDataFrame(edges, "u long, v long")).collect()}
     assert got == {x: root(x) for u, v in edges if u != v for x in (u, v)}
     assert components(spark.createDataFrame([], "u long, v long")).count() == 0

@@ -1,4 +1,5 @@
-"""Connected components of an undirected graph, by alternating star contractions on a table of edges.
+"""Connected components of an undirected graph, by alternating star contractions on a table of edges. Where it has
+no more than LOCAL edges, one task, which holds them in memory, solves it at once; the result is the same.
 
 Large star: every node sends its larger neighbours to its smallest one. Small star: every node and its smaller
 neighbours go to the smallest. Each step is a minimum by node (pre-aggregated before the shuffle) and a join
@@ -8,10 +9,42 @@ round, so a lost executor costs one round at most.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import map_arrow, materialize
+
+#: Edges that one task solves (16 bytes each).
+LOCAL = 1 << 20
+
+
+def labels(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The nodes, and for each the smallest node that it is connected with."""
+    nodes, at = np.unique(np.concatenate([u, v]), return_inverse=True)
+    a, b, label = at[: len(u)], at[len(u) :], np.arange(len(nodes))
+    while True:
+        least = np.minimum(label[a], label[b])
+        new = label.copy()
+        np.minimum.at(new, label[a], least)
+        np.minimum.at(new, label[b], least)
+        new = new[new]
+        if (new == label).all():
+            return nodes, nodes[label]
+        label = new
+
+
+def _solved(edges: DataFrame) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts = [(b.column(0).to_numpy(), b.column(1).to_numpy()) for b in batches]
+        if parts:
+            found = labels(*(np.concatenate([p[i] for p in parts]) for i in (0, 1)))
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in found], names=["node", "component"])
+
+    return map_arrow(edges.select("u", "v").coalesce(1), run, "node long, component long")
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
@@ -30,10 +63,12 @@ def components(edges: DataFrame) -> DataFrame:
     edges = materialize(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).filter("u <> v").distinct(), "edges")
     measure = lambda df: df.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
     state = measure(edges)
-    while state.n:
+    while state.n > LOCAL:
         edges = materialize(_star(_star(edges, True), False), "edges")
         before, state = state, measure(edges)
         if state == before:
             break
+    else:
+        return materialize(_solved(edges), "components")
     roots = edges.select(F.col("v").alias("node"), F.col("v").alias("component"))
     return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).union(roots).distinct()

@@ -1,15 +1,17 @@
 """Near-duplicate documents by HyperMinHash signatures, banding, estimates and exact confirmation.
 
-Signature: a document's distinct 3-word shingles are hashed to 64 bits. The top 8 bits choose one of 256 buckets;
+Signature: a document's distinct shingles (of three words, unless told otherwise) are hashed to 64 bits. The top 8 bits choose one of 256 buckets;
 of the smallest hash in a bucket only the number of leading zeros and the next 10 bits stay, 16 bits a register.
 Empty registers borrow from others at fixed random distances (for the bands only), so short documents collide
 no more easily than long ones.
 
-Candidates: 36 bands of 7 registers. Documents with equal sets (a 128-bit digest) are one class from the start and
+Candidates: bands, by default 36 of 7 registers. Documents with equal sets (a 128-bit digest) are one class from the start and
 only its representative goes on. In each band bucket members are first compared with two centres, its smallest and
-its largest representative, not with each other; the confirmed links give components. Pairs of a bucket that are
-then still in different components are compared too: with one centre of another component at a time while there
-are very many of them, and at last all that are left, so no pair that shares a band is lost. At 85 % similarity a
+its largest representative, not with each other; the confirmed links give components. Buckets whose members are
+then still in different components are compared in full, in pairs of blocks of bounded size, each by one product of
+incidence matrices, and only the links that join components come back. Members for which a part of the registers rules
+out every partner are left out before. So no pair that shares a band is lost, groups
+of copies cost as many comparisons as they have members, and no pairs are listed. At 85 % similarity a
 pair shares none with probability (1 - 0.85 ** 7) ** 36 < 1e-6.
 
 Before confirmation a candidate's size ratio and its estimate are checked: registers that agree, less the number
@@ -17,7 +19,7 @@ that would agree by chance (the collision correction), over registers in use. Th
 than six standard errors are dropped. The rest are confirmed on the full sets, built again from the whole texts.
 
 Null or empty texts, and those without words, have no shingles and are linked with nothing. A document with fewer
-than three words has one shingle, the whole sequence. Repeated rows are linked like copies.
+words than a shingle has one shingle, the whole sequence. Repeated rows are linked like copies.
 """
 
 from __future__ import annotations
@@ -34,7 +36,11 @@ from pyspark.sql import functions as F
 from .common import map_arrow, materialize, pick, slices, texts_of
 from .components import components
 
-BUCKETS, MANTISSA, BANDS, ROWS = 256, 10, 36, 7
+BUCKETS, MANTISSA = 256, 10
+#: Shingles of a block, and pairs of it, that are looked at together.
+COLUMNS, PAIRS = 4096, 100_000
+#: Registers that members of a bucket are compared by before their sets are sent.
+PART = 64
 #: Words whose hashes a worker remembers.
 REMEMBER = 500_000
 _hashes: dict[bytes, int] = {}
@@ -44,11 +50,17 @@ _K = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9], np.u
 @dataclass(frozen=True)
 class Near:
     """Documents are linked if 100 * shared shingles >= percent * shingles of either. width: words in a shingle.
-    direct: while more pairs than this for each representative are open, one centre at a time is tried first."""
+    bands of rows registers each: bands * rows <= 256. block: members of a bucket that a task compares with as many."""
 
     percent: int = 85
     width: int = 3
-    direct: float = 2.0
+    bands: int = 36
+    rows: int = 7
+    block: int = 512
+
+
+#: For corpora at large: five words, and at 80 % a pair shares no band with probability (1 - 0.8 ** 6) ** 42 < 1e-5.
+CORPUS = Near(80, 5, 42, 6)
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -65,7 +77,7 @@ def shingles(text: bytes, width: int = 3) -> np.ndarray:
     known = _hashes
     if len(known) > REMEMBER:
         known.clear()
-    for w in set(words) - known.keys():
+    for w in {w for w in words if w not in known}:  # a difference with the keys would walk through all of them
         known[w] = xxhash.xxh3_64_intdigest(w)
     h = np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
     n = min(width, len(words))
@@ -92,8 +104,8 @@ def registers(sorted_hashes: np.ndarray) -> np.ndarray:
 _SHIFTS = np.random.Generator(np.random.PCG64(7)).permutation(np.arange(1, BUCKETS))
 
 
-def bands(regs: np.ndarray) -> np.ndarray:
-    """Band keys (documents x 36) of registers (documents x 256); rows need one register in use at least."""
+def bands(regs: np.ndarray, near: Near = Near()) -> np.ndarray:
+    """Band keys (documents x bands) of registers (documents x 256); rows need one register in use at least."""
     full = regs.copy()
     rows = np.flatnonzero((full == 0).any(axis=1))
     for shift in _SHIFTS:
@@ -102,23 +114,24 @@ def bands(regs: np.ndarray) -> np.ndarray:
         part = full[rows]
         full[rows] = np.where(part == 0, np.roll(regs[rows], -shift, axis=1), part)
         rows = rows[(full[rows] == 0).any(axis=1)]
-    cells = full[:, : BANDS * ROWS].reshape(-1, BANDS, ROWS).astype(np.uint64)
+    cells = full[:, : near.bands * near.rows].reshape(-1, near.bands, near.rows).astype(np.uint64)
     with np.errstate(over="ignore"):
-        key = np.broadcast_to(np.arange(1, BANDS + 1, dtype=np.uint64), cells.shape[:2])
-        for k in range(ROWS):
+        key = np.broadcast_to(np.arange(1, near.bands + 1, dtype=np.uint64), cells.shape[:2])
+        for k in range(near.rows):
             key = _mix(key * _K[0] + cells[:, :, k] + _K[2])
     return key.view(np.int64)
 
 
 def estimate(a: np.ndarray, b: np.ndarray, n_a: np.ndarray, n_b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Corrected similarity of register rows, and its standard error at a similarity of 0.85."""
+    """Corrected similarity of register rows (all 256, or the same part of them), and its standard error at a
+    similarity of 0.85."""
     used = np.maximum(((a > 0) | (b > 0)).sum(axis=1), 1)
     agree = ((a == b) & (a > 0)).sum(axis=1)
     x, y = n_a[:, None] / BUCKETS, n_b[:, None] / BUCKETS
     high = 2.0 ** -np.arange(0, 40)[None, :]
     low, width = high / 2, high / 2 / (1 << MANTISSA)
     # two independent minima fall into the same cell: density x * y * exp(-(x + y) t), cells of a width in [low, high)
-    chance = (x * y / (x + y) * (np.exp(-(x + y) * low) - np.exp(-(x + y) * high)) * width).sum(axis=1) * BUCKETS
+    chance = (x * y / (x + y) * (np.exp(-(x + y) * low) - np.exp(-(x + y) * high)) * width).sum(axis=1) * a.shape[1]
     return np.clip((agree - chance) / np.maximum(used - chance, 1e-9), 0, 1), np.sqrt(0.85 * 0.15 / used)
 
 
@@ -128,9 +141,9 @@ def signatures(docs: DataFrame, near: Near = Near()) -> DataFrame:
             sets = [shingles(t, near.width) for t in texts_of(batch)]
             regs = np.stack([registers(s) for s in sets])
             some = np.array([len(s) > 0 for s in sets])
-            keys = np.zeros((len(sets), BANDS), np.int64)
-            keys[some] = bands(regs[some])
-            counts = np.where(some, BANDS, 0)
+            keys = np.zeros((len(sets), near.bands), np.int64)
+            keys[some] = bands(regs[some], near)
+            counts = np.where(some, near.bands, 0)
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column(0).cast(pa.int64()),
@@ -187,6 +200,98 @@ def _confirmed(pairs: DataFrame, near: Near) -> DataFrame:
     return map_arrow(pairs, run, "u long, v long")
 
 
+def _linked(sets: list[np.ndarray], comp: np.ndarray, apart: np.ndarray, near: Near) -> tuple[np.ndarray, np.ndarray]:
+    """Places of pairs whose sets are similar enough and whose components and sides (apart, unless 0) differ. All
+    intersections at once: products of the incidence matrix of shingles that occur twice, some columns at a time."""
+    n = np.array([len(s) for s in sets])
+    flat, of = np.concatenate(sets), np.repeat(np.arange(len(sets)), n)
+    _, column, times = np.unique(flat, return_inverse=True, return_counts=True)
+    place = np.cumsum(times > 1) - 1
+    shared = times[column] > 1
+    of, column = of[shared], place[column[shared]]
+    order = np.argsort(column, kind="stable")
+    of, column = of[order], column[order]
+    both = np.zeros((len(sets), len(sets)), np.float32)
+    for k in range(0, int(column[-1]) + 1 if len(column) else 0, COLUMNS):
+        a, b = np.searchsorted(column, (k, k + COLUMNS))
+        part = np.zeros((len(sets), min(COLUMNS, int(column[-1]) + 1 - k)), np.float32)
+        part[of[a:b], column[a:b] - k] = 1
+        both += part @ part.T
+    both = both.astype(np.int64)
+    ok = 100 * both >= near.percent * (n[:, None] + n[None] - both)
+    ok &= (comp[:, None] != comp[None]) & ((apart[:, None] != apart[None]) | (apart[:, None] == 0))
+    return np.nonzero(np.triu(ok, 1))
+
+
+def _promising(regs: np.ndarray, n: np.ndarray, comp: np.ndarray, apart: np.ndarray, near: Near) -> np.ndarray:
+    """Which members have a partner in another component that sizes and estimates do not rule out."""
+    u, v = np.triu_indices(len(n), 1)
+    ok = (comp[u] != comp[v]) & ((apart[u] != apart[v]) | (apart[u] == 0))
+    ok &= 100 * np.minimum(n[u], n[v]) >= near.percent * np.maximum(n[u], n[v])
+    u, v = u[ok], v[ok]
+    found = np.zeros(len(n), bool)
+    for k in range(0, len(u), PAIRS):
+        a, b = u[k : k + PAIRS], v[k : k + PAIRS]
+        x, y = regs[a], regs[b]
+        used = np.maximum(((x | y) > 0).sum(axis=1), 1)
+        # chance agreements only raise this, so nothing is lost by leaving the correction out here
+        good = ((x == y) & (x > 0)).sum(axis=1) / used >= near.percent / 100 - 6 * np.sqrt(0.85 * 0.15 / used)
+        found[a[good]] = found[b[good]] = True
+    return found
+
+
+def _in_groups(members: DataFrame, value: str, work, schema: str) -> DataFrame:
+    """work over the rows of each bucket, or pair of blocks of a large one. members: key, i, j, side, cid, comp, n and a
+    value. work gets lists of the last five."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, rows = None, []
+        for batch in batches:
+            out = []
+            for *at, side, cid, comp, n, x in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if at != group:
+                    if len(rows) > 1:
+                        out.append(work(group, rows))
+                    group, rows = at, []
+                rows.append((side, cid, comp, n, x))
+            yield from out
+        if len(rows) > 1:
+            yield work(group, rows)
+
+    sorted_ = members.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+    return map_arrow(sorted_.select("key", "i", "j", "side", "cid", "comp", "n", value), run, schema)
+
+
+def _narrowed(members: DataFrame, near: Near) -> DataFrame:
+    """Those members, with part of their registers, that a partner may be linked with."""
+
+    def work(group: list, rows: list[tuple]) -> pa.RecordBatch:
+        side, cid, comp, n = (np.array([r[k] for r in rows]) for k in range(4))
+        regs = np.frombuffer(b"".join(r[4] for r in rows), np.uint16).reshape(len(rows), -1)
+        keep = _promising(regs, n, comp, side, near)
+        fixed = [pa.array(np.full(int(keep.sum()), x), t) for x, t in zip(group, (pa.int64(), pa.int32(), pa.int32()), strict=True)]
+        kinds = (pa.int32(), pa.int64(), pa.int64(), pa.int64())
+        return pa.RecordBatch.from_arrays([*fixed, *(pa.array(x[keep], t) for x, t in zip((side, cid, comp, n), kinds, strict=True))], names=["key", "i", "j", "side", "cid", "comp", "n"])
+
+    return _in_groups(members, "part", work, "key long, i int, j int, side int, cid long, comp long, n long")
+
+
+def _joining(members: DataFrame, near: Near) -> DataFrame:
+    """Links (u, v) between components by full sets, no more than join up what a group holds."""
+
+    def work(group: list, rows: list[tuple]) -> pa.RecordBatch:
+        side, cid, comp = (np.array([r[k] for r in rows]) for k in range(3))
+        u, v = _linked([np.frombuffer(r[4], np.uint64) for r in rows], comp, side, near)
+        if len(u):
+            # one link between two components is enough
+            ends = np.stack([np.minimum(comp[u], comp[v]), np.maximum(comp[u], comp[v])])
+            first = np.unique(ends, axis=1, return_index=True)[1]
+            u, v = u[first], v[first]
+        return pa.RecordBatch.from_arrays([pa.array(cid[u], pa.int64()), pa.array(cid[v], pa.int64())], names=["u", "v"])
+
+    return _in_groups(members, "set", work, "u long, v long")
+
+
 def links(docs: DataFrame, classes: DataFrame, near: Near) -> DataFrame:
     """node, component: confirmed links between classes (cid, rep, n, regs, bands; one row per distinct set) joined
     up. Classes without links need not appear."""
@@ -194,50 +299,39 @@ def links(docs: DataFrame, classes: DataFrame, near: Near) -> DataFrame:
     keys = classes.select("cid", "n", F.explode("bands").alias("key"))
     crowd = keys.groupBy("key").agg(F.count("*").alias("c"), F.min("cid").alias("low"), F.max("cid").alias("high")).filter("c > 1")
     member = materialize(keys.join(crowd.drop("c"), "key"), "buckets")  # only buckets with company
-    tried = found = None
-
-    def test(pairs: DataFrame) -> DataFrame:
-        """Confirms the pairs (u, v) that were not tried before."""
-        nonlocal tried, found
-        pairs = pairs.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).filter("u <> v").distinct()
-        pairs = materialize(pairs if tried is None else pairs.join(tried, ["u", "v"], "left_anti"), "pairs")
-        tried = pairs if tried is None else tried.union(pairs)
-        for side in ("u", "v"):
-            pairs = pairs.join(classes.select(F.col("cid").alias(side), F.col("n").alias(f"{side}_n"), F.col("regs").alias(f"{side}_regs")), side)
-        pairs = pairs.filter(F.least("u_n", "v_n") >= share * F.greatest("u_n", "v_n"))
-        pairs = materialize(_plausible(pairs.select("u", "v", "u_n", "v_n", "u_regs", "v_regs"), near), "plausible")
-        named = pairs.select(F.col("u").alias("cid")).union(pairs.select("v")).distinct().join(classes.select("cid", "rep"), "cid")
-        # ids may be repeated with other texts, so a set counts for its class, not for its id
+
+    def sets_of(cids: DataFrame) -> DataFrame:
+        """cid, set. Ids may be repeated with other texts, so a set counts for its class, not for its id."""
+        named = cids.distinct().join(classes.select("cid", "rep"), "cid")
         sets = _sets(docs.join(named.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi"), near)
-        sets = materialize(sets.join(named.select("cid"), "cid", "left_semi").groupBy("cid").agg(F.first("set").alias("set")), "sets")
-        for side in ("v", "u"):
-            pairs = pairs.join(sets.select(F.col("cid").alias(side), F.col("set").alias(f"{side}_set")), side)
-        new = materialize(_confirmed(pairs.select("u", "v", "u_set", "v_set"), near), "links")
-        found = new if found is None else found.union(new)
-        return new
-
-    test(member.select(F.col("cid").alias("u"), F.explode(F.array("low", "high")).alias("v")))
-    n_classes = classes.count()
-    while True:
-        label = components(found)
-        at = member.join(label, F.col("cid") == F.col("node"), "left").select("key", "cid", "n", F.coalesce("component", "cid").alias("comp"))
-        per = at.groupBy("key", "comp").agg(F.count("*").alias("s"), F.min("cid").alias("first"))
-        ends = (F.min(F.struct("comp", "first")).alias("a"), F.max(F.struct("comp", "first")).alias("b"))
-        per = per.groupBy("key").agg(F.count("*").alias("comps"), F.sum("s").alias("m"), F.sum(F.col("s") * F.col("s")).alias("sq"), *ends).filter("comps > 1")
-        per = materialize(per.select("key", ((F.col("m") * F.col("m") - F.col("sq")) / 2).alias("open"), F.col("a.comp").alias("comp_a"), F.col("a.first").alias("first_a"), F.col("b.first").alias("first_b")), "open")
-        open_pairs = per.agg(F.sum("open")).first()[0] or 0
-        if not open_pairs:
-            return label
-        at = materialize(at.join(per, "key"), "members")
-        if open_pairs > near.direct * n_classes:
-            # each member with one member of another component
-            new = test(at.select(F.col("cid").alias("u"), F.when(F.col("comp") == F.col("comp_a"), F.col("first_b")).otherwise(F.col("first_a")).alias("v")))
-            if not new.isEmpty():
-                continue
-        x, y = (at.select(F.col("key").alias(f"{s}_key"), *(F.col(c).alias(f"{s}_{c}") for c in ("cid", "n", "comp"))) for s in "xy")
-        rest = x.join(y, (F.col("x_key") == F.col("y_key")) & (F.col("x_comp") < F.col("y_comp")) & (F.least("x_n", "y_n") >= share * F.greatest("x_n", "y_n")))
-        new = test(rest.select(F.col("x_cid").alias("u"), F.col("y_cid").alias("v")))
-        return label if new.isEmpty() else components(found)
+        return materialize(sets.join(named.select("cid"), "cid", "left_semi").groupBy("cid").agg(F.first("set").alias("set")), "sets")
+
+    # members with the centres
+    pairs = member.select(F.col("cid").alias("u"), F.explode(F.array("low", "high")).alias("v"))
+    pairs = pairs.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).filter("u <> v").distinct()
+    for side in ("u", "v"):
+        pairs = pairs.join(classes.select(F.col("cid").alias(side), F.col("n").alias(f"{side}_n"), F.col("regs").alias(f"{side}_regs")), side)
+    pairs = pairs.filter(F.least("u_n", "v_n") >= share * F.greatest("u_n", "v_n"))
+    pairs = materialize(_plausible(pairs.select("u", "v", "u_n", "v_n", "u_regs", "v_regs"), near), "plausible")
+    sets = sets_of(pairs.select(F.col("u").alias("cid")).union(pairs.select("v")))
+    for side in ("v", "u"):
+        pairs = pairs.join(sets.select(F.col("cid").alias(side), F.col("set").alias(f"{side}_set")), side)
+    found = materialize(_confirmed(pairs.select("u", "v", "u_set", "v_set"), near), "links")
+    label = components(found)
+
+    # members of different components, in blocks
+    at = member.join(label, F.col("cid") == F.col("node"), "left").select("key", "cid", F.coalesce("component", "cid").alias("comp"), "low", "n")
+    mixed = at.groupBy("key").agg(F.count("*").alias("m"), F.min("comp").alias("a"), F.max("comp").alias("b"), F.min("n").alias("least"), F.max("n").alias("most")).filter("a <> b")
+    # two members with no size in reach have no link
+    mixed = mixed.filter((F.col("m") > 2) | (F.col("least") >= share * F.col("most"))).select("key", F.ceil(F.col("m") / near.block).cast("int").alias("blocks"))
+    at = at.join(mixed, "key").withColumn("b", F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int"))
+    # block b meets itself and every other: (b, b), (b, j) and (i, b)
+    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    at = at.withColumn("o", other).select("key", F.least("b", "o").alias("i"), F.greatest("b", "o").alias("j"), F.when(F.col("b") == F.col("o"), 0).when(F.col("b") < F.col("o"), 1).otherwise(2).alias("side"), "cid", "comp", "n")
+    part = classes.select("cid", F.substring("regs", 1, 2 * PART).alias("part"))
+    at = materialize(_narrowed(at.join(part, "cid"), near), "members")
+    more = materialize(_joining(at.join(sets_of(at.select("cid")), "cid"), near), "links")
+    return label if more.isEmpty() else components(found.union(more))
 
 
 def near_duplicates(docs: DataFrame, near: Near = Near()) -> DataFrame:
