@@ -41,7 +41,7 @@ def plain(stage, rows):
         keep = measure([(r.text or "").encode() for r in rows], Limits())["kept"]
         return [tuple(r) for r, k in zip(rows, keep, strict=True) if k]
     if stage == "near_dedup":
-        kept = {d for d, _, _, k in near_brute([(r.doc_id, r.text) for r in rows]) if k}
+        kept = {d for d, _, _, k in near_brute([(r.doc_id, r.text) for r in rows], 80, 5) if k}
         return sorted({tuple(r) for r in rows if r.doc_id in kept})
     clean = [masked(r.text, pii_brute(r.text)) for r in rows]
     return [(r.doc_id, t, r.lang, r.source, len(t)) for r, t in zip(rows, clean, strict=True)]
