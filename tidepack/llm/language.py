@@ -6,7 +6,7 @@ labels the position. A document's probabilities are the means over its positions
 with a text; every byte of a text is in one window.
 
 Training is backpropagation through time with Adam, on the driver, on a bounded sample: of the labelled training
-rows the `sample` with the smallest seeded hashes, one window from a seeded place in each. Rows whose
+rows at most `sample`, those with the smallest seeded hashes, one window from a seeded place in each. Rows whose
 crc32(doc_id) mod 5 is 0 are held out. The trained weights (about 30 kB) go to the tasks, which map over all texts.
 
 Null texts and texts without a letter are `und` with score 0; so is everything if nothing was learned. A null id
@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_arrow, slices, texts_of
+from .common import map_arrow, sample_rows, slices, texts_of
 
 UNKNOWN = "und"
 _LETTER = re.compile(r"[^\W\d_]")
@@ -198,7 +198,9 @@ def fit(docs: DataFrame, settings: Training = Training()) -> tuple[Network | Non
     draw = F.xxhash64(F.lit(settings.seed), "doc_id", "text")
     rows = docs.filter(F.col("lang").isNotNull() & F.rlike("text", F.lit(r"\p{L}")) & ~held_out(F.col("doc_id"))).select("doc_id", "text", "lang", draw.alias("draw"))
     start = F.pmod("draw", F.greatest(F.lit(1), F.char_length("text") - settings.window)).cast("int") + 1
-    rows = rows.select("draw", "lang", F.substring("text", start, F.lit(settings.window)).alias("part")).orderBy("draw", "lang", "part").limit(settings.sample).collect()
+    rows = rows.select("draw", "lang", F.substring("text", start, F.lit(settings.window)).alias("part"))
+    total = docs.filter(F.col("lang").isNotNull()).count()
+    rows = sorted(sample_rows(rows, F.col("draw"), settings.sample, total).collect())
     return train([r.part.encode() for r in rows], [r.lang for r in rows], settings)
 
 

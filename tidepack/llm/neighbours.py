@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, ship
+from .common import materialize, sample_rows, ship
 
 _BITS = np.bitwise_count(np.arange(256)[:, None] ^ np.arange(256)[None]).astype(np.uint8)
 RESULT = "query_id long, vec_id long, score double"
@@ -138,8 +138,8 @@ def neighbours(vectors: DataFrame, is_query: Column, id_column: str = "vec_id",
     if most is None:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     rows = rows.filter(F.size("v") == most.size)
-    drawn = rows.select(F.xxhash64(F.lit(settings.seed), "id").alias("draw"), "v").orderBy("draw").limit(settings.sample)
-    codes = learn(np.array([r.v for r in drawn.collect()]), float(np.sqrt(most.top)), settings)
+    drawn = sample_rows(rows.select(F.xxhash64(F.lit(settings.seed), "id").alias("draw"), "v"), F.col("draw"), settings.sample, most.n)
+    codes = learn(np.array([r.v for r in sorted(drawn.collect())]), float(np.sqrt(most.top)), settings)
     shards, blocks = (max(1, -(-n // size)) for n, size in ((most.n, settings.shard), (most.queries, settings.block)))
     deal = lambda seed, n: F.pmod(F.xxhash64(F.lit(seed), "id"), F.lit(n)).cast("int")
     each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
