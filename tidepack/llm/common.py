@@ -2,16 +2,16 @@
 
 from __future__ import annotations
 
-import os
 import tempfile
 import uuid
-import zipfile
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..shipping import ship as send
+
 #: Documents that a Python stage handles at once, and about how many bytes of text: the memory bound of a worker.
 SLICE_ROWS, SLICE_BYTES = 512, 4 << 20
 #: Rows in one Arrow batch between the JVM and a worker.
@@ -40,19 +40,8 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
 
 
 def ship(spark: SparkSession) -> None:
-    """Makes this package importable for the Python workers of every executor."""
-    sc = spark.sparkContext
-    if getattr(sc, "_tidepack_shipped", False):
-        return
-    top = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
-    path = os.path.join(tempfile.mkdtemp(prefix="tidepack-zip-"), "tidepack.zip")
-    with zipfile.ZipFile(path, "w") as z:
-        for d, _, names in os.walk(os.path.join(top, "tidepack")):
-            for n in names:
-                if n.endswith(".py"):
-                    z.write(os.path.join(d, n), os.path.relpath(os.path.join(d, n), top))
-    sc.addPyFile(path)
-    sc._tidepack_shipped = True
+    """Makes this package importable for the executors' Python workers, and their batches of rows small."""
+    send(spark)
     if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > ARROW_ROWS:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
 
