@@ -34,7 +34,7 @@ from .common import map_arrow, materialize, pick, slices, texts_of
 
 CAPACITY, END_ID = 4096, 1
 #: Pieces of one size in a bucket that is ranked by one task; words whose ids a worker remembers.
-BUCKET_ROWS, REMEMBER = 20_000, 1_000_000
+BUCKET_ROWS, REMEMBER = 2_000, 1_000_000
 _SIMPLE = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?]*)")
 _END = b"\xff"
 _workers: dict[str, Words] = {}
