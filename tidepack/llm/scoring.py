@@ -185,15 +185,17 @@ class _Reader:
     def begin(self, block: int) -> None:
         self.block, self.texts = block, False
         self.keys, self.counts, self.known = [], [], {}
+        # by the number of a word: its weight from the root, its base weight, its place among the heads, its count
+        self.table = np.zeros((4, 1024))
 
     def learn(self, words: list[bytes]) -> None:
-        if len(self.known) > REMEMBER:
-            self.known.clear()
+        first = len(self.known)
+        while first + len(words) > self.table.shape[1]:
+            self.table = np.concatenate([self.table, np.zeros_like(self.table)], axis=1)
         h = np.fromiter(map(word_hash, words), np.int64, len(words))
         c = self.counts[np.searchsorted(self.keys, h)]
-        root, head = self.model.root(c), _place(self.model.heads, h)
-        base = np.log10(c + 1) - self.unit
-        self.known.update(zip(words, zip(root.tolist(), base.tolist(), head.tolist(), (c > 0).tolist(), strict=True), strict=True))
+        self.table[:, first : first + len(words)] = self.model.root(c), np.log10(c + 1) - self.unit, _place(self.model.heads, h), c
+        self.known.update(zip(words, range(first, first + len(words)), strict=True))
 
     def read(self, batch: pa.RecordBatch) -> pa.RecordBatch | None:
         blocks, kinds = (batch.column(i).to_numpy() for i in (0, 1))
@@ -220,9 +222,12 @@ class _Reader:
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
     def score(self, words: list[bytes]) -> tuple[int, int, int, float, float]:
-        got = list(map(self.known.get, words))
-        if None in got:
-            self.learn(list(set(words)))
-            got = list(map(self.known.__getitem__, words))
-        root, base, head, known = zip(*got, strict=True)
-        return len(words), sum(known), self.model.total, float(np.sum(base)), self.model.path(np.array(root), np.array(head), head[-1])
+        at = list(map(self.known.get, words))
+        if None in at:
+            if len(self.known) > REMEMBER:
+                self.known = {}
+            self.learn(list({w for w in words if w not in self.known}))
+            at = list(map(self.known.__getitem__, words))
+        root, base, head, count = self.table[:, at]
+        head = head.astype(np.int64)
+        return len(words), int((count > 0).sum()), self.model.total, float(base.sum()), self.model.path(root, head, head[-1])
