@@ -51,3 +51,26 @@ def test_odd_vectors_ties_and_few_rows(spark):
     assert sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in got) == [(20, 1, 3, 1.0), (20, 2, 40, 1.0), (20, 3, 1, 0.5), (40, 1, 3, 1.0), (40, 2, 20, 1.0), (40, 3, 1, 0.5)]
     assert neighbours(df.limit(0), F.col("vec_id") % 20 == 0).count() == 0
     assert neighbours(df.filter("vec_id = 20"), F.col("vec_id") % 20 == 0).count() == 0
+
+
+def test_repeated_rows_and_ids_give_distinct_neighbours(spark):
+    rng = np.random.default_rng(20)
+    v = np.round(rng.normal(size=(60, 4)), 2)
+    rows = [(i, x.tolist()) for i, x in enumerate(v)]
+    rows += [rows[20]] * 30 + [rows[7]] * 30 + [(40, [9.0, 0.0, 0.0, 0.0]), (9, [0.0, 9.0, 0.0, 0.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = {}
+    for r in neighbours(df, F.col("vec_id") % 20 == 0, settings=Search(shard=16, block=2)).collect():
+        got.setdefault(r.query_id, []).append((r["rank"], r.vec_id, r.score))
+    assert got.keys() == {0, 20, 40}
+    for q, found in got.items():
+        top = {}
+        for a, x in rows:
+            for b, y in rows:
+                if a == q and b != q:
+                    top[b] = max(top.get(b, -np.inf), float((np.array(x) * np.array(y)).sum()))
+        found.sort()
+        assert [r for r, *_ in found] == list(range(1, 21)) and len({i for _, i, _ in found}) == 20
+        assert all(abs(s - top[i]) < 1e-9 for _, i, s in found)
+        want = sorted(top, key=lambda b: (-top[b], b))[:20]
+        assert len({i for _, i, _ in found} & set(want)) >= 18

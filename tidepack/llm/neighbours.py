@@ -13,7 +13,8 @@ few goes on with its next nearest codes. Blocks of queries meet shards of rows;
 query at most, and a window merges them.
 
 Vectors that are null or zero, that hold null or non-finite components, or whose dimension is not the most frequent
-one, take no part. Rows with the query's id are its own. Ties go to the smaller id. Empty tables give no rows.
+one, take no part. Rows with the query's id are its own. Queries and neighbours are ids: repeated rows count once, and
+where an id is repeated with other vectors, the score of two ids is the largest of their vectors'. Ties go to the smaller id. Empty tables give no rows.
 """
 
 from __future__ import annotations
@@ -99,6 +100,7 @@ class Shard:
 
     def __init__(self, codes: Codes, ids: np.ndarray, vectors: np.ndarray):
         self.codes, self.ids, self.vectors, self.packed = codes, ids, vectors, codes.of(vectors)
+        self.repeated = len(np.unique(ids)) < len(ids)
         self.tables = [(np.argsort(c, kind="stable"), np.bincount(c, minlength=256)) for c in self.packed.T]
 
     def within(self, code: np.ndarray) -> np.ndarray:
@@ -113,13 +115,22 @@ class Shard:
     def nearest(self, query_id: int, vector: np.ndarray, code: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
         rows = self.within(code)
         rows = rows[self.ids[rows] != query_id]
-        if len(rows) < k:
+        if len(rows) < k or (self.repeated and len(np.unique(self.ids[rows])) < k):
             others = np.flatnonzero(self.ids != query_id)
             apart = np.bitwise_count(self.packed[others] ^ code).sum(axis=1, dtype=np.int64)
-            rows = others[np.argsort(apart, kind="stable")[: 4 * k]]
-        score = (self.vectors[rows] * vector).sum(axis=1)
-        best = np.lexsort((self.ids[rows], -score))[:k]
-        return self.ids[rows[best]], score[best]
+            others = others[np.argsort(apart, kind="stable")]
+            first = np.sort(np.unique(self.ids[others], return_index=True)[1])[: 4 * k]
+            rows = others[: first[-1] + 1] if len(first) else others
+        return best(self.ids[rows], (self.vectors[rows] * vector).sum(axis=1), k)
+
+
+def best(ids: np.ndarray, score: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """The k distinct ids with the largest scores, best first."""
+    order = np.lexsort((ids, -score))
+    if len(set(ids[order[:k]].tolist())) < len(order[:k]):
+        order = order[np.sort(np.unique(ids[order], return_index=True)[1])]
+    order = order[:k]
+    return ids[order], score[order]
 
 
 def _usable(v: Column) -> Column:
@@ -144,7 +155,7 @@ def neighbours(vectors: DataFrame, is_query: Column, id_column: str = "vec_id",
     deal = lambda seed, n: F.pmod(F.xxhash64(F.lit(seed), "id"), F.lit(n)).cast("int")
     each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     index = rows.select("id", "v", deal(1, shards).alias("shard"), each(blocks).alias("block"))
-    queries = rows.filter("query").select("id", "v", deal(2, blocks).alias("block"), each(shards).alias("shard"))
+    queries = rows.filter("query").select("id", "v").distinct().select("id", "v", deal(2, blocks).alias("block"), each(shards).alias("shard"))
     k = settings.k
 
     def meet(left: pa.Table, right: pa.Table) -> pa.Table:
@@ -152,8 +163,11 @@ def neighbours(vectors: DataFrame, is_query: Column, id_column: str = "vec_id",
         out: list[tuple] = []
         if len(ids[0]) and len(vecs[0]):
             shard = Shard(codes, *ids)
+            by: dict[int, list] = {}
             for q, v, code in zip(*vecs, codes.of(vecs[1], True), strict=True):
-                found, score = shard.nearest(q, v, code, k)
+                by.setdefault(int(q), []).append(shard.nearest(q, v, code, k))
+            for q, each_vector in by.items():
+                found, score = each_vector[0] if len(each_vector) == 1 else best(*(np.concatenate(c) for c in zip(*each_vector, strict=True)), k)
                 out.append((np.full(len(found), q), found, score))
         columns = [np.concatenate([o[i] for o in out]) if out else np.zeros(0) for i in range(3)]
         return pa.table([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.float64()), strict=True)], names=["query_id", "vec_id", "score"])
