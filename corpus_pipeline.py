@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from tidepack.llm.common import materialize, pick, table
 from tidepack.llm.mixing import mix_documents
-from tidepack.llm.neardup import CORPUS, near_duplicates
+from tidepack.llm.neardup import CORPUS, kept_texts, text_key
 from tidepack.llm.packing import pack
 from tidepack.llm.pii import redact
 from tidepack.llm.quality import keep_good
@@ -27,10 +27,11 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates (shingles of five words, 80 % or more): that with the smallest id, once if its row is repeated.
-    Rows with null ids stay. The join deals texts by id, and the aggregation keeps them there."""
+    Rows that share an id but not the text are documents of their own. Rows with null ids stay. The join deals texts
+    by id and text, and the aggregation keeps them there."""
     docs = pick(docs, *COLUMNS)
-    kept = near_duplicates(docs, CORPUS).filter("kept and doc_id is not null").select("doc_id")
-    kept = docs.join(kept, "doc_id", "left_semi").groupBy("doc_id").agg(F.min(F.struct(*COLUMNS[1:])).alias("d"))
+    keyed = docs.withColumn("text_key", text_key(F.col("text")))
+    kept = keyed.join(kept_texts(docs, CORPUS), ["doc_id", "text_key"], "left_semi").groupBy("doc_id", "text_key").agg(F.min(F.struct(*COLUMNS[1:])).alias("d"))
     return kept.select("doc_id", "d.*").unionByName(docs.filter("doc_id is null"))
 
 

@@ -84,3 +84,12 @@ def test_stages_on_empty_tables(spark, docs):
     for _, stage in cp.STAGES:
         at = stage(spark, at, "")
         assert at.count() == 0
+
+
+def test_near_dedup_judges_rows_that_share_an_id_one_by_one(spark):
+    rng = random.Random(19)
+    a, b, c, d = (" ".join(f"w{rng.randint(0, 10**6)}" for _ in range(100)) for _ in range(4))
+    rows = [(5, a), (5, b), (5, b), (5, f"{c} end"), (3, c), (7, d), (5, ""), (5, None), (9, f"{d} end"), (9, f"end {a}")]
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], SCHEMA)
+    got = [(r.doc_id, r.text) for r in cp.near_dedup_stage(spark, docs, "").collect()]
+    assert sorted(got, key=str) == sorted([(5, a), (5, b), (3, c), (7, d), (5, ""), (5, None)], key=str)

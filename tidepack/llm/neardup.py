@@ -30,7 +30,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import map_arrow, materialize, pick, slices, texts_of
@@ -135,6 +135,10 @@ def estimate(a: np.ndarray, b: np.ndarray, n_a: np.ndarray, n_b: np.ndarray) ->
     return np.clip((agree - chance) / np.maximum(used - chance, 1e-9), 0, 1), np.sqrt(0.85 * 0.15 / used)
 
 
+def text_key(text: Column) -> Column:
+    return F.xxhash64(text, text.isNull())
+
+
 def signatures(docs: DataFrame, near: Near = Near()) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
@@ -147,15 +151,17 @@ def signatures(docs: DataFrame, near: Near = Near()) -> DataFrame:
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column(0).cast(pa.int64()),
+                    batch.column(2),
                     pa.array([len(s) for s in sets], pa.int64()),
                     pa.array([xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets], pa.binary()),
                     pa.array([r.tobytes() if k else None for r, k in zip(regs, some, strict=True)], pa.binary()),
                     pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]), pa.int32()), pa.array(keys[some].ravel())),
                 ],
-                names=["doc_id", "n_shingles", "digest", "regs", "bands"],
+                names=["doc_id", "text_key", "n_shingles", "digest", "regs", "bands"],
             )
 
-    return map_arrow(pick(docs, "doc_id", "text"), run, "doc_id long, n_shingles long, digest binary, regs binary, bands array<long>")
+    keyed = pick(docs, "doc_id", "text").withColumn("text_key", text_key(F.col("text")))
+    return map_arrow(keyed, run, "doc_id long, text_key long, n_shingles long, digest binary, regs binary, bands array<long>")
 
 
 def _plausible(pairs: DataFrame, near: Near) -> DataFrame:
@@ -334,17 +340,30 @@ def links(docs: DataFrame, classes: DataFrame, near: Near) -> DataFrame:
     return label if more.isEmpty() else components(found.union(more))
 
 
-def near_duplicates(docs: DataFrame, near: Near = Near()) -> DataFrame:
-    """One row per document: doc_id, n_shingles, component_id (the smallest doc_id it is linked with, over any
-    number of links), kept (it has that id itself)."""
+def _placed(docs: DataFrame, near: Near) -> DataFrame:
+    """One row per document: doc_id, text_key, n_shingles, cid (the class of its set, null without shingles),
+    component_id, first (the class that stays of its component: the smallest of those that hold the component's id)."""
     sigs = materialize(signatures(docs, near), "signatures").withColumn("cid", F.xxhash64("digest"))
     classes = sigs.filter("digest is not null and doc_id is not null").groupBy("cid").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("regs").alias("regs"), F.first("bands").alias("bands"))
     classes = materialize(classes, "classes")
     label = links(docs, classes, near)
-    least = label.join(classes.select(F.col("cid").alias("node"), "rep"), "node").groupBy("component").agg(F.min("rep").alias("least"))
+    least = label.join(classes.select(F.col("cid").alias("node"), "rep"), "node").groupBy("component").agg(F.min(F.struct("rep", "node")).alias("least"))
     linked = label.join(least, "component").select("node", "least")
     place = classes.select(F.col("cid").alias("class"), "rep").join(linked, F.col("class") == F.col("node"), "left")
-    place = materialize(place.select("class", F.coalesce("least", "rep").alias("component_id")), "places")
+    place = materialize(place.select("class", F.coalesce("least.rep", "rep").alias("component_id"), F.coalesce("least.node", "class").alias("first")), "places")
     df = sigs.join(place, (F.col("cid") == F.col("class")) & F.col("digest").isNotNull(), "left")
-    component = F.coalesce("component_id", "doc_id")
-    return df.select("doc_id", "n_shingles", component.alias("component_id"), component.eqNullSafe(F.col("doc_id")).alias("kept"))
+    return df.select("doc_id", "text_key", "n_shingles", F.col("class").alias("cid"), F.coalesce("component_id", "doc_id").alias("component_id"), "first")
+
+
+def near_duplicates(docs: DataFrame, near: Near = Near()) -> DataFrame:
+    """One row per document: doc_id, n_shingles, component_id (the smallest doc_id it is linked with, over any
+    number of links), kept (it has that id itself)."""
+    return _placed(docs, near).select("doc_id", "n_shingles", "component_id", F.col("component_id").eqNullSafe(F.col("doc_id")).alias("kept"))
+
+
+def kept_texts(docs: DataFrame, near: Near = Near()) -> DataFrame:
+    """doc_id, text_key: one text of each component, of those with its smallest id, and each text without shingles.
+    Ids may be repeated with other texts, which are judged each by itself. Rows with null ids are left out."""
+    rows = _placed(docs, near).filter("doc_id is not null")
+    one = rows.filter("cid = first and doc_id = component_id").groupBy("doc_id", "cid").agg(F.min("text_key").alias("text_key"))
+    return one.select("doc_id", "text_key").union(rows.filter("cid is null").select("doc_id", "text_key").distinct())
