@@ -51,6 +51,18 @@ def test_scores_against_plain_python(spark, monkeypatch):
     assert [g[6] for g in got] == pytest.approx([w[6] for w in want])
 
 
+def test_pairs_of_rare_words_have_arcs(spark, monkeypatch):
+    rng = random.Random(21)
+    vocab = ["the", "of"] * 40 + [f"r{i}" for i in range(2000)]
+    rows = [(i, " ".join(rng.choice(vocab) for _ in range(rng.randint(0, 60))) + " rare pair", 0) for i in range(120)] + [(900, None, 0), (901, "new r1 r2", 0)]
+    monkeypatch.setattr(scoring, "BLOCK_ROWS", 40)
+    monkeypatch.setattr(scoring, "TALLY", 64)
+    got = {r.doc_id: r for r in score(spark.createDataFrame(rows, "doc_id long, text string, block int").repartition(3)).collect()}
+    for d, _, n, known, total, base, weight in plain_scores(rows, 0):
+        assert (got[d].n_tokens, got[d].n_known, got[d].train_tokens) == (n, known, total)
+        assert (got[d].base_score, got[d].score) == pytest.approx((base, weight))
+
+
 def test_arcs_of_a_state_add_up_to_one():
     heads = {7: 5, 9: 3, -2: 4}
     model = Automaton.of(20, 11, heads, {(0, 1): 3, (0, 0): 1, (2, 2): 2, (1, 0): 4})

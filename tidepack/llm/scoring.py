@@ -1,17 +1,16 @@
 """Scoring texts with a weighted backoff automaton over words, trained on all training texts.
 
 States and arcs, with log10 weights (absolute discounting at every level):
-- a state for each head word, a word of at least 2 ** -10 of all tokens, so there are 1024 of them at most. Its arcs
-  are the head words seen after it; its failure arc, with the backoff weight, leads to the root;
+- a state for each word of the training texts that has a successor there. Its arcs are the words seen after it; its
+  failure arc, with the backoff weight, leads to the root;
 - the root. Its arcs are all words of the training texts; its failure arc, with the mass that discounting frees,
   reads one unknown word, whichever it is, and comes back to the root.
-One traversal from left to right adds the weights and carries the state: the head word just read, or the root.
-The events are those of the base: the words of the training texts, the end, and "unknown".
+One traversal from left to right adds the weights and carries the state: the word just read, or the root if that
+has no state. The events are those of the base: the words of the training texts, the end, and "unknown".
 
-What is sent to every task (head words and their arcs, 2 ** 20 at most) is bounded whatever the corpus. The root's
-arcs are not: a block of documents, a part of one input file, asks for the counts of its own words. Partial counts
-by block are summed by word, and each block's words go back to it with their totals; in one pass over the blocks
-each reads its words and then its texts.
+Nothing is sent to every task but two totals. A block of documents, a part of one input file, asks for its own words
+and word pairs: partial counts by block are summed by word and by pair, and each block's words and pairs go back to it
+with their totals and backoff weights; in one pass over the blocks each reads these and then its texts.
 
 Words are hashed to 64 bits. Null and empty texts are the end token alone. A null id belongs to the training
 texts. Repeated rows count as often as they occur. Without training tokens every token weighs log10(1) = 0.
@@ -19,21 +18,23 @@ texts. Repeated rows count as often as they occur. Without training tokens every
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import map_arrow, materialize, slices, texts_of
 
-HEAD_SHARE, DISCOUNT = 2.0**-10, 0.5
+#: Words of at least this share of all tokens have states and arcs to each other; 0: all words.
+HEAD_SHARE, DISCOUNT = 0.0, 0.5
 #: Documents in a block, and words whose score a task remembers.
 BLOCK_ROWS, REMEMBER = 8192, 400_000
+#: Pairs that are counted together, and rows of a batch of counts.
+TALLY, SEND = 1 << 20, 1 << 16
 END = b""  # no word is empty
 
 
@@ -45,8 +46,20 @@ def tokens(text: bytes) -> list[bytes]:
     return [*text.lower().split(), END]
 
 
+def pair_key(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """One number for two word hashes; _pair_key is the same in Spark."""
+    u = a.view(np.uint64)
+    return ((u << np.uint64(23)) | (u >> np.uint64(41))).view(np.int64) ^ b
+
+
+def _pair_key(a: Column, b: Column) -> Column:
+    return F.shiftleft(a, 23).bitwiseOR(F.shiftrightunsigned(a, 41)).bitwiseXOR(b)
+
+
 @dataclass
 class Automaton:
+    """The automaton of few words in one place, by the same formulas: what tests look into."""
+
     total: int  # training tokens
     distinct: int
     heads: np.ndarray  # hashes, sorted
@@ -67,75 +80,70 @@ class Automaton:
         return Automaton(total, distinct, hashes, np.where(n > 0, np.log10(np.maximum(share, 1e-30)), np.nan), fail)
 
     def root(self, counts: np.ndarray) -> np.ndarray:
-        """Weights of words read from the root, by their training counts."""
-        if not self.total:
-            return np.zeros(len(counts))
-        return np.log10(np.where(counts > 0, counts - DISCOUNT, DISCOUNT * self.distinct) / self.total)
+        return root_weights(counts, self.total, self.distinct)
 
-    def path(self, root: np.ndarray, head: np.ndarray, end: int) -> float:
-        """The weight of a text's path. root: weights from the root; head: places among the heads, -1 if none;
-        end: the place of the end token, whose state a text starts from."""
-        before = np.concatenate([[end], head[:-1]])
-        if not len(self.heads):
-            return float(root.sum())
-        arc = np.where((before >= 0) & (head >= 0), self.arcs[before, head], np.nan)
-        failed = root + np.where(before >= 0, self.fail[before], 0)
-        return float(np.where(np.isnan(arc), failed, arc).sum())
 
+def root_weights(counts: np.ndarray, total: int, distinct: int) -> np.ndarray:
+    """Weights of words read from the root, by their training counts."""
+    if not total:
+        return np.zeros(len(counts))
+    return np.log10(np.where(counts > 0, counts - DISCOUNT, DISCOUNT * distinct) / total)
 
-def _place(heads: np.ndarray, hashes: np.ndarray) -> np.ndarray:
-    if not len(heads):
-        return np.full(len(hashes), -1)
-    at = np.minimum(np.searchsorted(heads, hashes), len(heads) - 1)
-    return np.where(heads[at] == hashes, at, -1)
 
+class _Tally:
+    """How often numbers occur, added in arrays."""
 
-def _counted(docs: DataFrame) -> DataFrame:
-    """Partial counts in training texts: block, key, n; n is 0 for words of other texts only."""
+    def __init__(self):
+        self.keys, self.n, self.new, self.size = np.zeros(0, np.int64), np.zeros(0, np.int64), [], 0
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        by: dict[int, tuple[Counter, set]] = {}
-        for batch in slices(batches):
-            for block, held, text in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), texts_of(batch), strict=True):
-                train, asked = by.setdefault(block, (Counter(), set()))
-                (asked if held else train).update(tokens(text))
-        for block, (train, asked) in by.items():
-            words = [*train, *(asked - train.keys())]
-            n = np.zeros(len(words), np.int64)
-            n[: len(train)] = np.fromiter(train.values(), np.int64, len(train))
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(words), block)), pa.array(np.fromiter(map(word_hash, words), np.int64, len(words))), pa.array(n)], names=["block", "key", "n"])
+    def add(self, keys: np.ndarray) -> None:
+        self.new.append(keys)
+        self.size += len(keys)
+        if self.size > TALLY:
+            self.fold()
 
-    return map_arrow(docs, run, "block long, key long, n long")
+    def fold(self) -> None:
+        if self.new:
+            keys, n = np.unique(np.concatenate(self.new), return_counts=True)
+            self.keys, at = np.unique(np.concatenate([self.keys, keys]), return_inverse=True)
+            self.n = np.bincount(at, np.concatenate([self.n, n]), len(self.keys)).astype(np.int64)
+            self.new, self.size = [], 0
 
 
-def _head_pairs(docs: DataFrame, heads: np.ndarray) -> DataFrame:
-    """a, b, n: how often head b follows head a in training texts; a text starts after an end."""
-    end = word_hash(END)
+def _counted(docs: DataFrame) -> DataFrame:
+    """Partial counts in training texts: block, a, b, n, how often b follows a, or occurs at all where a is null; n is 0
+    for what is in other texts only. A text starts after an end."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n, size = np.zeros(len(heads) ** 2, np.int64), len(heads)
-        place = {h: i for i, h in enumerate(heads.tolist())}
-        known: dict[bytes, int] = {}
-        first = place.get(end, -1)
+        number = {END: 0}
+        by: dict[int, tuple[_Tally, _Tally]] = {}
         for batch in slices(batches):
-            for text in texts_of(batch):
+            for block, held, text in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), texts_of(batch), strict=True):
+                if block not in by:
+                    by[block] = _Tally(), _Tally()
                 words = tokens(text)
-                at = list(map(known.get, words))
-                if None in at:
-                    if len(known) > REMEMBER:
-                        known.clear()
-                    for w in words:
-                        if w not in known:
-                            known[w] = place.get(word_hash(w), -1)
-                    at = map(known.__getitem__, words)
-                b = np.fromiter(at, np.int64, len(words))
-                a = np.concatenate([[first], b[:-1]])
-                ok = (a >= 0) & (b >= 0)
-                np.add.at(n, a[ok] * size + b[ok], 1)
-        some = np.flatnonzero(n)
-        yield pa.RecordBatch.from_arrays([pa.array(some // max(size, 1)), pa.array(some % max(size, 1)), pa.array(n[some])], names=["a", "b", "n"])
-
-    return map_arrow(docs, run, "a long, b long, n long")
+                b = np.fromiter((number.setdefault(w, len(number)) for w in words), np.int64, len(words))
+                a = np.concatenate([b[-1:], b[:-1]])
+                by[block][bool(held)].add(a << 32 | b)
+        hashes = np.fromiter(map(word_hash, number), np.int64, len(number))
+        number.clear()
+        while by:
+            block, (train, asked) = by.popitem()
+            train.fold()
+            asked.fold()
+            more = np.setdiff1d(asked.keys, train.keys, assume_unique=True)
+            keys, n = np.concatenate([train.keys, more]), np.concatenate([train.n, np.zeros(len(more), np.int64)])
+            a, b = keys >> 32, keys & 0xFFFFFFFF
+            words, at = np.unique(b, return_inverse=True)
+            times = np.bincount(at, n, len(words)).astype(np.int64)
+            for one, two, many in ((None, words, times), (a, b, n)):
+                for k in range(0, len(two), SEND):
+                    part = slice(k, k + SEND)
+                    size = len(two[part])
+                    first = pa.nulls(size, pa.int64()) if one is None else pa.array(hashes[one[part]])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(size, block)), first, pa.array(hashes[two[part]]), pa.array(many[part])], names=["block", "a", "b", "n"])
+
+    return map_arrow(docs, run, "block long, a long, b long, n long")
 
 
 def held_out(doc_id: Column) -> Column:
@@ -152,22 +160,30 @@ def score(docs: DataFrame, stored: bool = False) -> DataFrame:
     block = F.abs(F.xxhash64(F.input_file_name(), F.pmod(F.xxhash64("doc_id"), F.lit(parts)))) % (1 << 62)
     docs = docs.select(block.alias("block"), "doc_id", held_out(F.col("doc_id")).alias("held"), "text")
 
-    partial = materialize(_counted(docs.select("block", "doc_id", "held", "text")), "partial")
-    counts = materialize(partial.groupBy("key").agg(F.sum("n").alias("c")), "counts")
+    same = Window.partitionBy("a", "b")
+    totals = _counted(docs.select("block", "doc_id", "held", "text"))
+    totals = totals.select("block", "a", "b", F.sum("n").over(same).alias("c"), (F.row_number().over(same.orderBy("block")) == 1).alias("first"))
+    totals = materialize(totals, "totals")
+    words, pairs = totals.filter("a is null"), totals.filter("a is not null and c > 0")
+    counts = materialize(words.filter("first").select(F.col("b").alias("key"), "c"), "counts")
     sums = counts.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("total"), F.count(F.when(F.col("c") > 0, 1)).alias("distinct")).first()
-    heads = {r.key: r.c for r in counts.filter((F.col("c") > 0) & (F.col("c") >= sums.total * HEAD_SHARE)).collect()}
-    ordered = np.array(sorted(heads), np.int64)
-    pairs = _head_pairs(docs.filter("not held").select("doc_id", "text"), ordered).groupBy("a", "b").agg(F.sum("n").alias("n"))
-    model = Automaton.of(sums.total, sums.distinct, heads, {(r.a, r.b): r.n for r in pairs.collect()})
+    total, distinct, least = sums.total, sums.distinct, sums.total * HEAD_SHARE
+
+    # by state: the share that its arcs hold, and what the root gives to the same words
+    seen = pairs.filter("first").join(counts.filter(F.col("c") >= least).select(F.col("key").alias("b"), F.col("c").alias("c_b")), "b")
+    seen = seen.groupBy(F.col("a").alias("key")).agg(F.sum(F.col("c") - DISCOUNT).alias("arcs"), F.sum((F.col("c_b") - DISCOUNT) / max(total, 1)).alias("root"))
+    fail = F.log10(F.greatest(1 - F.coalesce("arcs", F.lit(0.0)) / F.col("c"), F.lit(1e-30)) / F.greatest(1 - F.coalesce("root", F.lit(0.0)), F.lit(1e-9)))
+    states = counts.join(seen, "key", "left").select("key", "c", F.when((F.col("c") > 0) & (F.col("c") >= least), fail).otherwise(0.0).alias("fail"))
 
-    asked = partial.select("block", "key").join(counts, "key").select("block", "key", "c")
     none = lambda t: F.lit(None).cast(t)
-    both = asked.select("block", F.lit(0).alias("kind"), "key", "c", none("long").alias("doc_id"), none("boolean").alias("held"), none("string").alias("text"))
-    both = both.unionByName(docs.select("block", F.lit(1).alias("kind"), none("long").alias("key"), none("long").alias("c"), "doc_id", "held", "text"))
+    row = lambda df, kind, x, y, z, text: df.select("block", F.lit(kind).alias("kind"), x.cast("long").alias("x"), y.cast("long").alias("y"), z.cast("double").alias("z"), text.alias("text"))
+    both = row(words.select("block", F.col("b").alias("key")).join(states, "key"), 0, F.col("key"), F.col("c"), F.col("fail"), none("string"))
+    both = both.union(row(pairs, 1, _pair_key(F.col("a"), F.col("b")), F.col("c"), none("double"), none("string")))
+    both = both.union(row(docs, 2, F.col("doc_id"), F.col("held"), none("double"), F.col("text")))
     both = both.repartition("block").sortWithinPartitions("block", "kind")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        reader = _Reader(model)
+        reader = _Reader(total, distinct, least)
         for batch in slices(batches):
             if out := reader.read(batch):
                 yield out
@@ -176,25 +192,38 @@ def score(docs: DataFrame, stored: bool = False) -> DataFrame:
 
 
 class _Reader:
-    """Reads blocks, each its words' counts and then its texts."""
+    """Reads blocks, each its words, its pairs and then its texts."""
 
-    def __init__(self, model: Automaton):
-        self.model, self.block, self.texts = model, None, False
-        self.unit = np.log10(model.total + model.distinct + 1)
+    def __init__(self, total: int, distinct: int, least: float):
+        self.total, self.distinct, self.least, self.block, self.texts = total, distinct, least, None, False
+        self.unit = np.log10(total + distinct + 1)
 
     def begin(self, block: int) -> None:
         self.block, self.texts = block, False
-        self.keys, self.counts, self.known = [], [], {}
-        # by the number of a word: its weight from the root, its base weight, its place among the heads, its count
-        self.table = np.zeros((4, 1024))
+        self.parts: tuple[list, list, list, list, list] = [], [], [], [], []
+        self.known = {}
+        # by the number of a word: its weight from the root, its base weight, its failure weight, its count
+        self.table, self.hashes = np.zeros((4, 1024)), np.zeros(1024, np.int64)
+
+    def ready(self) -> None:
+        """Sorts what came for the block."""
+        keys, counts, fails, pairs, times = (np.concatenate(p) if p else np.zeros(0, np.int64) for p in self.parts)
+        self.parts = [], [], [], [], []
+        order = np.argsort(keys)
+        self.keys, self.counts, self.fails = keys[order], counts[order], fails[order]
+        order = np.argsort(pairs)
+        self.pairs, self.times = pairs[order], times[order]
 
     def learn(self, words: list[bytes]) -> None:
         first = len(self.known)
         while first + len(words) > self.table.shape[1]:
             self.table = np.concatenate([self.table, np.zeros_like(self.table)], axis=1)
+            self.hashes = np.concatenate([self.hashes, np.zeros_like(self.hashes)])
         h = np.fromiter(map(word_hash, words), np.int64, len(words))
-        c = self.counts[np.searchsorted(self.keys, h)]
-        self.table[:, first : first + len(words)] = self.model.root(c), np.log10(c + 1) - self.unit, _place(self.model.heads, h), c
+        at = np.searchsorted(self.keys, h)
+        c = self.counts[at]
+        self.table[:, first : first + len(words)] = root_weights(c, self.total, self.distinct), np.log10(c + 1) - self.unit, self.fails[at], c
+        self.hashes[first : first + len(words)] = h
         self.known.update(zip(words, range(first, first + len(words)), strict=True))
 
     def read(self, batch: pa.RecordBatch) -> pa.RecordBatch | None:
@@ -205,17 +234,15 @@ class _Reader:
             if blocks[a] != self.block:
                 self.begin(int(blocks[a]))
             part = batch.slice(a, b - a)
-            if kinds[a] == 0:
-                self.keys.append(part.column(2).to_numpy())
-                self.counts.append(part.column(3).to_numpy())
+            if kinds[a] < 2:
+                for k in range(3 if kinds[a] == 0 else 2):
+                    self.parts[3 * kinds[a] + k].append(part.column(2 + k).to_numpy().copy())
                 continue
             if not self.texts:
                 self.texts = True
-                keys, counts = np.concatenate(self.keys), np.concatenate(self.counts)
-                order = np.argsort(keys)
-                self.keys, self.counts = keys[order], counts[order]
-            for doc, held, text in zip(part.column(4).to_pylist(), part.column(5).to_pylist(), texts_of(part), strict=True):
-                rows.append((doc, held, *self.score(tokens(text))))
+                self.ready()
+            for doc, held, text in zip(part.column(2).to_pylist(), part.column(3).to_pylist(), texts_of(part), strict=True):
+                rows.append((doc, bool(held), *self.score(tokens(text))))
         if not rows:
             return None
         kinds = (pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64())
@@ -228,6 +255,17 @@ class _Reader:
                 self.known = {}
             self.learn(list({w for w in words if w not in self.known}))
             at = list(map(self.known.__getitem__, words))
-        root, base, head, count = self.table[:, at]
-        head = head.astype(np.int64)
-        return len(words), int((count > 0).sum()), self.model.total, float(base.sum()), self.model.path(root, head, head[-1])
+        root, base, fail, count = self.table[:, at]
+        return len(words), int((count > 0).sum()), self.total, float(base.sum()), self.path(root, fail, count, self.hashes[at])
+
+    def path(self, root: np.ndarray, fail: np.ndarray, count: np.ndarray, hashes: np.ndarray) -> float:
+        """The weight of a text's path; it starts from the state of the end, its last token."""
+        back = lambda x: np.concatenate([x[-1:], x[:-1]])
+        before, failed = back(count), root + back(fail)
+        if not len(self.pairs):
+            return float(failed.sum())
+        pairs = pair_key(back(hashes), hashes)
+        at = np.minimum(np.searchsorted(self.pairs, pairs), len(self.pairs) - 1)
+        arc = (self.pairs[at] == pairs) & (before >= self.least) & (count >= self.least)
+        share = np.where(arc, (self.times[at] - DISCOUNT) / np.maximum(before, 1), 1.0)
+        return float(np.where(arc, np.log10(share), failed).sum())
