@@ -72,3 +72,21 @@ def test_patterns_need_support_and_precision(spark):
 
 def test_masked_merges_overlaps():
     assert masked("ab 123 cd", [(3, 2, 5), (4, 3, 6)]) == "ab [CARD] cd"
+
+
+def test_slots_of_accepted_patterns_give_identifiers_of_any_form(spark):
+    odd = ["root@intranet,", "(root@intranet)", "5551234567", "2001:db8::1"]
+    rows = [(i, f"text {i} please write to u{i}@host{i}.org today") for i in range(200)]
+    rows += [(300 + i, f"so please write to {x} today") for i, x in enumerate([*odd, "john at example dot com"])]
+    # a context that other words share is not accepted
+    rows += [(400 + i, f"we heard from v{i}@host{i}.org then") for i in range(10)] + [(500 + i, f"we heard from friend{chr(97 + i)} then") for i in range(10)]
+    # new instances speak for a new pattern, whose slot is searched in the next round
+    rows += [(600 + i, f"so please write to nick{chr(97 + i)} today") for i in range(12)] + [(700 + i, f"the handle of nick{chr(97 + i)} here") for i in range(12)] + [(800, "the handle of stranger here")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    texts = dict(rows)
+    got = {r.doc_id: [texts[r.doc_id][int(a) : int(b)] for _, a, b in (x.split(":") for x in r.spans.split(",") if x)] for r in personal_data(df).collect()}
+    assert [got[300 + i] for i in range(4)] == [[x.strip(",()")] for x in odd]
+    assert "john at example dot com" in got[304]
+    assert all(got[500 + i] == [] for i in range(10)) and got[800] == ["stranger"]
+    clean = {r.doc_id: r.text for r in redact(df).collect()}
+    assert clean[301] == "so please write to ([EMAIL]) today" and clean[304] == "so please write to [EMAIL] today" and clean[505] == texts[505]

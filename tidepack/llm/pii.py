@@ -2,13 +2,19 @@
 
 Base spans (fixed patterns for email, ip, card, phone) are the seeds. Each occurrence of a seed, and of a token of
 a similar shape that fails the base patterns, has lexical patterns: its two words to the left, and its neighbours
-on both sides. Patterns and instances (distinct values) form a graph. In each round a pattern's score is the mean
-score of its instances, smoothed, and an instance that is no seed gets the noisy-or of its patterns with enough
-support. In the end occurrences in patterns of high score and support are spans too. Base spans always stay, and
-found spans that overlap one are not added.
+on both sides. Patterns and instances (distinct values) form a graph. A pattern's score is the mean score of its
+instances, smoothed; an instance that is no seed gets the noisy-or of the other accepted patterns it occurs in, those
+of high score and enough support.
 
-The graph is a table counted by (pattern, kind, instance), so copies of a document add nothing, and each round is
-two aggregations and joins of tables; nothing is collected. Offsets are code points, ends exclusive.
+Then the texts are searched for what else is in the slots of accepted patterns, of any form: one word behind two words
+to the left, up to five words between two neighbours, without the punctuation around them; and for other places of
+the instances of one word that were found so. These join the graph with all their patterns, which are scored again, so that words that are no identifiers count against a pattern, and
+new instances speak for new patterns, whose slots are searched in the next round. In the end occurrences in patterns
+that are still accepted and whose slots have been searched are spans too. Base spans always stay, and found spans
+that overlap one are not added.
+
+The graph is a table counted by (pattern, kind, instance), so copies of a document add nothing, and each scoring is
+aggregations and joins of tables. Accepted patterns and the instances that they add go to every task. Offsets are code points, ends exclusive.
 
 Null texts are empty: no spans. Repeated rows get equal results. Empty tables give no rows.
 """
@@ -43,13 +49,17 @@ _LIKE = (
     ("card", re.compile(r"(?<![\w+-])[0-9](?:[ -]?[0-9]){11,18}(?![\w-])")),
     ("phone", re.compile(r"(?<![\w+(-])\(?[0-9]{2,4}\)?[ .-][0-9]{2,4}(?:[ .-][0-9]{2,4}){1,3}(?![\w-])")),
 )
+#: What is left out around the words in a slot, and how many words are looked at.
+PUNCTUATION, SLOT_WORDS = "()[]{}<>.,;:!?\"'`´“”‘’«»…", 5
+#: Words whose place in patterns a worker remembers.
+REMEMBER = 500_000
 OCCURRENCE = "start int, stop int, kind string, seed boolean, instance long, patterns array<string>"
 SCAN = f"doc_id long, key long, counts array<long>, base array<struct<start:int,kind:int,stop:int>>, found array<struct<{', '.join(x.replace(' ', ':', 1) for x in OCCURRENCE.split(', '))}>>"
 
 
 @dataclass(frozen=True)
 class Bootstrap:
-    """rounds: of scoring. support: distinct instances that a pattern needs. accept: its least score. smooth: added
+    """rounds: of scoring, and of searching slots, at most. support: distinct instances that a pattern needs. accept: its least score. smooth: added
     to the number of instances in the mean."""
 
     rounds: int = 3
@@ -90,12 +100,15 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(out)
 
 
+def _value(instance: str) -> int:
+    return xxhash.xxh3_64_intdigest(instance.lower()) - (1 << 63)
+
+
 def _patterns(text: str, start: int, stop: int) -> list[str]:
     left = text[max(0, start - 80) : start].lower().split()[-2:]
     right = text[stop : stop + 40].lower().split()[:1]
-    plain = lambda w: re.sub(r"[0-9]+", "0", w)
-    out = [f"L {plain(' '.join(left))}"] if len(left) == 2 else []
-    return out + ([f"C {plain(left[-1])} _ {plain(right[0])}"] if left and right else [])
+    out = [f"L {_plain(' '.join(left))}"] if len(left) == 2 else []
+    return out + ([f"C {_plain(left[-1])} _ {_plain(right[0])}"] if left and right else [])
 
 
 def occurrences(text: str, base: list[tuple[int, int, int]]) -> list[dict]:
@@ -105,8 +118,7 @@ def occurrences(text: str, base: list[tuple[int, int, int]]) -> list[dict]:
             for m in like.finditer(text):
                 if all(m.end() <= s or m.start() >= e for s, e, *_ in spans):
                     spans.append((m.start(), m.end(), kind, False))
-    value = lambda s, e: xxhash.xxh3_64_intdigest(text[s:e].lower()) - (1 << 63)
-    return [{"start": s, "stop": e, "kind": k, "seed": seed, "instance": value(s, e), "patterns": _patterns(text, s, e)} for s, e, k, seed in sorted(spans)]
+    return [{"start": s, "stop": e, "kind": k, "seed": seed, "instance": _value(text[s:e]), "patterns": _patterns(text, s, e)} for s, e, k, seed in sorted(spans)]
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
@@ -142,20 +154,107 @@ def bootstrap(found: DataFrame, settings: Bootstrap = Bootstrap()) -> DataFrame:
     graph = materialize(rows.groupBy("pattern", "kind", "instance").agg(F.max("seed").alias("seed")), "graph")
     enough = graph.groupBy("pattern", "kind").agg(F.count("*").alias("n")).filter(F.col("n") >= settings.support)
     graph = materialize(graph.join(enough.drop("n"), ["pattern", "kind"], "left_semi"), "graph")
-    scores = graph.select("instance", "kind", F.col("seed").cast("double").alias("score")).distinct()
-    for _ in range(settings.rounds):
-        patterns = graph.drop("seed").join(scores, ["instance", "kind"]).groupBy("pattern", "kind").agg((F.sum("score") / (F.count("*") + settings.smooth)).alias("score"), F.count("*").alias("support"))
+    seeds = graph.groupBy("instance", "kind").agg(F.max("seed").alias("sure"))
+    graph = materialize(graph.drop("seed").join(seeds, ["instance", "kind"]).select("*", F.col("sure").cast("double").alias("score")), "graph")
+    scored = graph
+    for k in range(settings.rounds):
+        patterns = scored.groupBy("pattern", "kind").agg((F.sum("score") / (F.count("*") + settings.smooth)).alias("score"), F.count("*").alias("support"))
         patterns = materialize(patterns, "patterns")
-        doubt = F.exp(F.sum(F.log(F.greatest(F.lit(1e-9), 1 - F.col("score")))))
-        scores = graph.join(patterns, ["pattern", "kind"]).groupBy("instance", "kind").agg(F.when(F.max("seed"), F.lit(1.0)).otherwise(1 - doubt).alias("score"))
+        if k + 1 < settings.rounds:
+            # what an accepted pattern says of an instance doesn't count for the pattern itself
+            vote = F.when(F.col("score") >= settings.accept, F.log(F.greatest(F.lit(1e-9), 1 - F.col("score")))).otherwise(0.0)
+            edges = graph.drop("score").join(patterns.select("pattern", "kind", vote.alias("vote")), ["pattern", "kind"])
+            all_votes = edges.groupBy("instance", "kind").agg(F.sum("vote").alias("votes"))
+            scored = edges.join(all_votes, ["instance", "kind"]).select("pattern", "kind", "instance", F.when(F.col("sure"), 1.0).otherwise(F.greatest(F.lit(0.0), 1 - F.exp(F.col("votes") - F.col("vote")))).alias("score"))
     return patterns.filter(F.col("score") >= settings.accept)
 
 
-def discovered(scans: DataFrame, settings: Bootstrap = Bootstrap()) -> DataFrame:
+def _plain(word: str) -> str:
+    return re.sub(r"[0-9]+", "0", word)
+
+
+class Slots:
+    """Finds what is in the slots of patterns, (pattern, kind), and instances, (instance, kind)."""
+
+    def __init__(self, patterns: list[tuple[str, str]], instances: list[tuple[int, str]] = ()):
+        self.instances: dict[int, set[str]] = {}
+        for instance, kind in instances:
+            self.instances.setdefault(instance, set()).add(kind)
+        self.kinds: dict[str, list[str]] = {}
+        for pattern, kind in sorted(patterns):
+            self.kinds.setdefault(pattern, []).append(kind)
+        self.lasts = {p.split(" ")[2 if p[0] == "L" else 1] for p in self.kinds}
+        self.known: dict[str, int] = {}
+
+    def find(self, text: str) -> list[dict]:
+        """Occurrences as in a scan, that overlap none of it."""
+        words = text.split()
+        hits = list(map(self.known.get, words))
+        if None in hits:
+            if len(self.known) > REMEMBER:
+                self.known.clear()
+            for w in words:
+                if w not in self.known:
+                    # 1: a pattern may begin before the next word, 2: the word is an instance
+                    self.known[w] = (_plain(w.lower()) in self.lasts) + 2 * (_value(w.strip(PUNCTUATION)) in self.instances)
+            hits = list(map(self.known.__getitem__, words))
+        if not any(hits):
+            return []
+        at = [m.span() for m in re.finditer(r"\S+", text)]
+        out: dict[tuple[int, int, str], list[str]] = {}
+        for (a, b), w in [(at[i], words[i]) for i, hit in enumerate(hits) if hit & 2]:
+            start, bare = a + len(w) - len(w.lstrip(PUNCTUATION)), w.strip(PUNCTUATION)
+            out |= {(start, start + len(bare), k): _patterns(text, a, b) for k in self.instances[_value(bare)]}
+        for i in [i + 1 for i, hit in enumerate(hits[:-1]) if hit & 1]:
+            for j in range(i, min(i + SLOT_WORDS, len(at))):
+                patterns = _patterns(text, at[i][0], at[j][1])
+                if j > i:
+                    patterns = [p for p in patterns if p[0] == "C"]
+                kinds = {k for p in patterns for k in self.kinds.get(p, ())}
+                if kinds:
+                    slot = text[at[i][0] : at[j][1]]
+                    start = at[i][0] + len(slot) - len(slot.lstrip(PUNCTUATION))
+                    stop = start + len(slot.strip(PUNCTUATION))
+                    out |= {(start, stop, k): patterns for k in kinds if stop > start}
+        if not out:
+            return []
+        taken = [(x["start"], x["stop"]) for x in occurrences(text, base_spans(text))]
+        free = [x for x in out if all(x[1] <= s or x[0] >= e for s, e in taken)]
+        return [{"start": s, "stop": e, "kind": k, "seed": False, "instance": _value(text[s:e]), "patterns": out[s, e, k]} for s, e, k in sorted(free)]
+
+
+def slots(docs: DataFrame, patterns: list[tuple[str, str]], instances: list[tuple[int, str]]) -> DataFrame:
+    """doc_id, key and occurrences: what is in the slots of patterns, and instances."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        search = Slots(patterns, instances)
+        for batch in slices(batches):
+            rows = [(d, k, x) for d, k, t in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), texts_of(batch), strict=True) for x in search.find(t.decode("utf-8", "replace"))]
+            if rows:
+                names = {"start": pa.int32(), "stop": pa.int32(), "kind": pa.string(), "seed": pa.bool_(), "instance": pa.int64(), "patterns": pa.list_(pa.string())}
+                yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()), *(pa.array([r[2][n] for r in rows], t) for n, t in names.items())], names=["doc_id", "key", *names])
+
+    return map_arrow(_keyed(docs), run, f"doc_id long, key long, {OCCURRENCE}")
+
+
+def discovered(docs: DataFrame, scans: DataFrame, settings: Bootstrap = Bootstrap()) -> DataFrame:
     """doc_id, key, more: the spans that accepted patterns add, by document."""
     found = scans.select("doc_id", "key", F.explode("found").alias("f")).select("doc_id", "key", "f.*")
     good = bootstrap(found, settings).select("pattern", "kind")
-    new = found.filter("not seed").withColumn("pattern", F.explode("patterns")).join(good, ["pattern", "kind"], "left_semi")
+    searched: tuple[set, set] = set(), set()
+    every = found
+    within = lambda: every.filter("not seed").withColumn("pattern", F.explode("patterns")).join(good, ["pattern", "kind"], "left_semi")
+    for _ in range(settings.rounds):
+        accepted = {(r.pattern, r.kind) for r in good.collect()}
+        trusted = {(r.instance, r.kind) for r in within().select("instance", "kind").distinct().collect()}
+        if accepted <= searched[0] and trusted <= searched[1]:
+            break
+        searched = searched[0] | accepted, searched[1] | trusted
+        every = materialize(found.unionByName(slots(docs, *map(sorted, searched))), "found")
+        good = bootstrap(every, settings).select("pattern", "kind")
+    if searched[0]:
+        good = good.join(F.broadcast(docs.sparkSession.createDataFrame(sorted(searched[0]), "pattern string, kind string")), ["pattern", "kind"], "left_semi")
+    new = within()
     number = F.array_position(F.array(*map(F.lit, KINDS)), F.col("kind")).cast("int") - 1
     span = F.struct("start", number.alias("kind"), "stop")
     return new.groupBy("doc_id", "key").agg(F.collect_set(span).alias("more"))
@@ -170,7 +269,7 @@ def _joined(spans: Column) -> Column:
 def personal_data(docs: DataFrame, settings: Bootstrap = Bootstrap()) -> DataFrame:
     """One row per document: doc_id, the numbers of base spans by kind, a digest of the base spans, all spans."""
     scans = materialize(scan(docs), "scans")
-    more = discovered(scans, settings).select(F.col("doc_id").alias("_doc"), F.col("key").alias("_key"), "more")
+    more = discovered(docs, scans, settings).select(F.col("doc_id").alias("_doc"), F.col("key").alias("_key"), "more")
     df = scans.select("doc_id", "key", "counts", "base").join(more, F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("key") == F.col("_key")), "left")
     every = F.array_sort(F.concat("base", F.coalesce("more", F.array().cast("array<struct<start:int,kind:int,stop:int>>"))))
     counts = [F.get("counts", F.lit(i)).alias(f"n_{k}") for i, k in enumerate(KINDS)]
@@ -191,7 +290,7 @@ def masked(text: str, spans: list[tuple[int, int, int]]) -> str:
 
 def redact(docs: DataFrame, settings: Bootstrap = Bootstrap()) -> DataFrame:
     """docs with every span masked in text, and n_chars brought up to date if there."""
-    more = discovered(materialize(scan(docs), "scans"), settings).select(F.col("doc_id").alias("_doc"), F.col("key").alias("_key"), "more")
+    more = discovered(docs, materialize(scan(docs), "scans"), settings).select(F.col("doc_id").alias("_doc"), F.col("key").alias("_key"), "more")
     more = materialize(more, "found")
     keyed = docs.withColumn("key", F.xxhash64("doc_id", "text"))
     df = keyed.join(more, F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("key") == F.col("_key")), "left").select(*docs.columns, "more")
