@@ -1,3 +1,6 @@
+from pathlib import Path
+
+from tidepack.llm import licences as module
 from tidepack.llm.licences import KNOWN, licences
 
 MIT = next(t for n, t in KNOWN if t.startswith("MIT License"))
@@ -33,3 +36,19 @@ def test_licences(spark):
     ]
     assert {r.doc_id: r.digest is None for r in got}[5] and {r.doc_id: r.digest is None for r in got}[6]
     assert licences(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_entire_texts_with_and_without_title(spark):
+    folder = Path(module.__file__).parent / "licence_texts"
+    rows, want = [], {}
+    for path in sorted(folder.glob("*.txt")):
+        text = path.read_text("utf-8")
+        for t in (text, text.upper() + "\n\n"):
+            rows.append((len(rows), t))
+            want[rows[-1][0]] = path.stem
+    bsd = next(t for n, t in KNOWN if n == "BSD-3-Clause")
+    for name, t in (("MIT", MIT.removeprefix("MIT License ")), ("BSD-3-Clause", bsd), ("Apache-2.0", (folder / "Apache-2.0.txt").read_text().split("APPENDIX")[0])):
+        rows.append((len(rows), t))
+        want[rows[-1][0]] = name
+    got = {r.doc_id: r.whole_licence for r in licences(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == want and {"Apache-2.0", "GPL-2.0", "GPL-3.0", "LGPL-3.0", "MPL-2.0", "CC0-1.0", "Unlicense"} <= set(want.values())

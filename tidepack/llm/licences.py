@@ -11,6 +11,8 @@ Null texts have no digest and no licence; so have texts with nothing left. Repea
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -59,6 +61,34 @@ KNOWN = (
     ("BSD-2-Clause", 'Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.'),
     ("Unlicense", "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means."),
 )
+
+
+def _untitled(text: str) -> str:
+    """A text without its title, what comes before the first blank line."""
+    return re.split(r"\n[ \t]*\n", text.strip(), maxsplit=1)[-1]
+
+
+def _entire() -> Iterator[tuple[str, str]]:
+    """Entire texts: those in the folder licence_texts, and short ones without their titles."""
+    for path in sorted((Path(__file__).parent / "licence_texts").glob("*.txt")):
+        text = path.read_text("utf-8")
+        yield path.stem, text
+        if path.stem != "Unlicense":  # it has no title
+            yield path.stem, _untitled(text)
+        if path.stem in _ENDS:  # how to apply it is often left out
+            cut = re.split(_ENDS[path.stem], text, maxsplit=1)[0]
+            yield from ((path.stem, cut), (path.stem, _untitled(cut)))
+    for name, text in KNOWN[:_SHORT]:
+        if text.startswith(f"{name} License "):
+            yield name, text.removeprefix(f"{name} License ")
+        if name == "BSD-2-Clause":
+            yield "BSD-3-Clause", text.replace(" THIS SOFTWARE IS", f" 3. {_THIRD} THIS SOFTWARE IS", 1)
+
+
+_ENDS = {"Apache-2.0": r"(?<=END OF TERMS AND CONDITIONS)", "GPL-2.0": r"(?<=END OF TERMS AND CONDITIONS)", "GPL-3.0": r"(?<=END OF TERMS AND CONDITIONS)", "LGPL-2.1": r"(?<=END OF TERMS AND CONDITIONS)"}
+_THIRD = "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."
+_SHORT = len(KNOWN)
+KNOWN = (*KNOWN, *_entire())
 #: After lower case, what leads to the canonical form, one after another; \n stays until lines are taken apart. The
 #: patterns mean the same in Java and in RE2. Runs are written so that single spaces need no replacing.
 _MARKS = "!-/:-@\\[-`{-~©–—‘’“”\t\x0b\x0c\r"
