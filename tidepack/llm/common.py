@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -26,6 +28,8 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder in spark.checkpoint.dir; a local one only where that is unset, as in tests."""
     at = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
     if not at:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         at = f"file://{tempfile.mkdtemp(prefix='tidepack-')}"
         spark.sparkContext.setCheckpointDir(at)
     return at
@@ -39,6 +43,12 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
+def discard(spark: SparkSession) -> None:
+    """Lets the JVM find out which finished shuffles nothing refers to any more, so that their files are deleted."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def ship(spark: SparkSession) -> None:
     """Makes this package importable for the executors' Python workers, and their batches of rows small."""
     send(spark)
@@ -67,9 +77,24 @@ def texts_of(batch: pa.RecordBatch, column: str = "text") -> list[bytes]:
     return [v or b"" for v in values]
 
 
+def trim() -> None:
+    """Gives the memory that a worker has freed back to the system: workers stay, for tasks of later stages."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 def map_arrow(df: DataFrame, f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
     ship(df.sparkSession)
-    return df.mapInArrow(f, schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from f(batches)
+        trim()
+
+    return df.mapInArrow(run, schema)
 
 
 def pick(df: DataFrame, *names: str) -> DataFrame:
