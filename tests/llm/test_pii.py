@@ -2,7 +2,7 @@ import hashlib
 import random
 import re
 
-from tidepack.llm.pii import KINDS, base_spans, bootstrap, masked, personal_data, redact
+from tidepack.llm.pii import KINDS, Slots, base_spans, bootstrap, masked, personal_data, redact
 
 PLAIN = {
     "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+",
@@ -90,3 +90,31 @@ def test_slots_of_accepted_patterns_give_identifiers_of_any_form(spark):
     assert all(got[500 + i] == [] for i in range(10)) and got[800] == ["stranger"]
     clean = {r.doc_id: r.text for r in redact(df).collect()}
     assert clean[301] == "so please write to ([EMAIL]) today" and clean[304] == "so please write to [EMAIL] today" and clean[505] == texts[505]
+
+
+def test_keys_are_found_where_keys_are(spark):
+    rng = random.Random(4)
+    key = lambda n=40: "".join(rng.choice("0123456789abcdef") for _ in range(n))
+    rows = [(i, f'some words token = "{key()}" more {i}') for i in range(20)]
+    rows += [(100, 'some words token = "hunter2" more'), (101, f"a hash {key()} elsewhere"), (102, "ordinary words")]
+    got = {r.doc_id: r.spans for r in personal_data(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all("secret:20:60" in got[i].split(",") for i in range(20))
+    assert got[100] == "secret:20:27" and got[101] == got[102] == ""
+
+
+def test_slots_against_plain_search():
+    rng = random.Random(5)
+    vocab = ["a", "b", "c", "d7", "D8", "(e)"]
+    texts = [" ".join(rng.choice(vocab) for _ in range(rng.randint(0, 12))) for _ in range(300)] + [""]
+    patterns = ["L a b", "L b b", "C a _ c", "C d0 _ a", "C c _ c"]
+    want = dict.fromkeys(patterns, 0)
+    for t in texts:
+        w = [re.sub("[0-9]+", "0", x.lower()) for x in t.split()]
+        for i in range(1, len(w)):
+            if i > 1 and f"L {w[i - 2]} {w[i - 1]}" in want:
+                want[f"L {w[i - 2]} {w[i - 1]}"] += 1
+            for j in range(i, min(i + 5, len(w) - 1)):
+                if f"C {w[i - 1]} _ {w[j + 1]}" in want:
+                    want[f"C {w[i - 1]} _ {w[j + 1]}"] += 1
+    search = Slots([(p, "email") for p in patterns])
+    assert dict(zip(search.names, search.count(texts).tolist(), strict=True)) == want

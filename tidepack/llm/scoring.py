@@ -44,8 +44,9 @@ from .common import discard, map_arrow, materialize, pick, slices, texts_of
 
 #: What stands for the lower order in states of pairs and of words; what is taken off the times of words.
 STRONG, WEAK, DISCOUNT = 4.0, 1000.0, 0.5
-#: Tokens of a block, n-grams of a table of sums, bytes of a piece that is sent, bytes of requests kept in memory.
-BLOCK_TOKENS, TABLE, PIECE, SPOOL = 1 << 19, 1 << 20, 1 << 16, 1 << 26
+#: Tokens of a block, n-grams of a table of sums, bytes of a piece that is sent, bytes of requests kept in memory, and
+#: bytes of blocks for a task that reads them.
+BLOCK_TOKENS, TABLE, PIECE, SPOOL, TASK_BYTES = 1 << 19, 1 << 20, 1 << 16, 1 << 26, 1 << 25
 END = b""  # no word is empty
 #: Kinds of rows: a block's words and texts, requests and answers by length of the n-gram.
 BLOCK, WORDS, PAIRS, TRIPLES = 0, 1, 2, 3
@@ -98,10 +99,18 @@ def received(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, Iterator[
         yield at, ((key[1], key[2], key[3], b"".join(p[5] for p in pieces)) for key, pieces in itertools.groupby(group, lambda r: r[:4]))
 
 
-def gathered(df: DataFrame) -> DataFrame:
+def gathered(df: DataFrame, tasks: int) -> DataFrame:
     """Rows that are SENT, those of one `at` together and in order."""
     order = ("at", "kind", "part", "sender", "piece")
-    return df.repartition("at").sortWithinPartitions(*order)
+    return df.repartition(tasks, "at").sortWithinPartitions(*order)
+
+
+class _Numbers(dict):
+    """Numbers words as they come."""
+
+    def __missing__(self, word: bytes) -> int:
+        self[word] = len(self)
+        return self[word]
 
 
 def held_out(doc_id: Column) -> Column:
@@ -112,7 +121,7 @@ def blocks(docs: DataFrame) -> DataFrame:
     """The documents as blocks, SENT."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number: dict[bytes, int] = {}
+        number = _Numbers()
         held: list[tuple] = []
         size = 0
 
@@ -130,11 +139,11 @@ def blocks(docs: DataFrame) -> DataFrame:
         for batch in slices(batches):
             for doc, test, text in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), texts_of(batch), strict=True):
                 words = tokens(text)
-                held.append((doc, doc is not None, test, np.fromiter((number.setdefault(w, len(number)) for w in words), np.int32, len(words))))
+                held.append((doc, doc is not None, test, np.fromiter(map(number.__getitem__, words), np.int32, len(words))))
                 size += len(words)
                 if size >= BLOCK_TOKENS:
                     yield from sent(done())
-                    number, held, size = {}, [], 0
+                    number, held, size = _Numbers(), [], 0
         if held:
             yield from sent(done())
 
@@ -232,7 +241,7 @@ def _opened(rows: Iterator[tuple[int, int, int, bytes]], length: int) -> Block:
     return block
 
 
-def _asked(rows: DataFrame, length: int, bits: int) -> DataFrame:
+def _asked(rows: DataFrame, length: int, bits: int, tasks: int) -> DataFrame:
     """What blocks ask for n-grams of this length. rows: blocks, and the answers for shorter ones."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -242,10 +251,10 @@ def _asked(rows: DataFrame, length: int, bits: int) -> DataFrame:
                 block.extend(length)
             yield from sent(block.requests(length, at, bits))
 
-    return map_arrow(rows if length == WORDS else gathered(rows), run, SENT)
+    return map_arrow(rows if length == WORDS else gathered(rows, tasks), run, SENT)
 
 
-def _answered(requests: DataFrame, length: int) -> DataFrame:
+def _answered(requests: DataFrame, length: int, tasks: int) -> DataFrame:
     """To each request the totals, and which n-grams other blocks have too; the first answer of a table also carries the
     table's own total and number."""
 
@@ -274,7 +283,7 @@ def _answered(requests: DataFrame, length: int) -> DataFrame:
 
         yield from sent(answers())
 
-    return map_arrow(gathered(requests), run, SENT)
+    return map_arrow(gathered(requests, tasks), run, SENT)
 
 
 def _summed(parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -288,10 +297,11 @@ def score(docs: DataFrame) -> DataFrame:
     size = rows.agg(F.coalesce(F.sum("total"), F.lit(0)).alias("words"), F.coalesce(F.sum(F.octet_length("body")), F.lit(0)).alias("bytes")).first()
     # about as many tables as requests need; a block's body has no fewer bytes than tokens
     many = {WORDS: size.words, PAIRS: size.bytes, TRIPLES: size.bytes}
+    tasks = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size.bytes // TASK_BYTES))
     total = distinct = 0
     for length in (WORDS, PAIRS, TRIPLES):
         bits = max(0, many[length] // TABLE).bit_length()
-        answers = materialize(_answered(_asked(rows, length, bits), length), "answers")
+        answers = materialize(_answered(_asked(rows, length, bits, tasks), length, tasks), "answers")
         if length == WORDS:
             sums = answers.agg(F.coalesce(F.sum("total"), F.lit(0)).alias("total"), F.coalesce(F.sum("distinct"), F.lit(0)).alias("distinct")).first()
             total, distinct = sums.total, sums.distinct
@@ -306,4 +316,4 @@ def score(docs: DataFrame) -> DataFrame:
             out = [doc, pa.array(block.held == 1), pa.array(n), pa.array(known), pa.array(np.full(len(n), total)), pa.array(base), pa.array(weight)]
             yield pa.RecordBatch.from_arrays(out, names=[c.split()[0] for c in RESULT.split(", ")])
 
-    return map_arrow(gathered(rows), run, RESULT)
+    return map_arrow(gathered(rows, tasks), run, RESULT)
