@@ -48,3 +48,28 @@ def test_parser_rejects_what_fits_no_grammar(spark):
 
 def test_chat_empty(spark):
     assert read_back(render(spark.createDataFrame([], SCHEMA))).count() == 0
+
+
+def test_a_shifted_mask_gives_no_loss(spark):
+    rows = [(1, 0, "user", "aa", 1), (1, 1, "assistant", "[INST] bb", 1), (1, 2, "user", "", 1), (1, 3, "assistant", "cc", 1)]
+    out = render(spark.createDataFrame(rows, SCHEMA))
+    right = read_back(out).first()
+    assert right.loss_chars == 11 and right.loss_sha256 == hashlib.sha256(b"[INST] bbcc").hexdigest()
+    for i in range(2):
+        for by in (-7, -1, 1):
+            moved = F.transform("loss_spans", lambda s, k: F.struct((s["start"] + F.when(k == i, by).otherwise(0)).alias("start"), (s["end"] + F.when(k == i, by).otherwise(0)).alias("end")))
+            got = read_back(out.withColumn("loss_spans", moved)).first()
+            assert got.loss_sha256 is None and got.loss_chars is None and got.turns_sha256 == right.turns_sha256
+    for spans in ("slice(loss_spans, 1, 1)", "loss_spans || slice(loss_spans, 1, 1)"):
+        assert read_back(out.withColumn("loss_spans", F.expr(spans))).first().loss_sha256 != right.loss_sha256
+    other = [s.asDict() for s in out.first().loss_spans][0]
+    user = F.array(F.struct(F.lit(len("[INST]user\n")).cast("long").alias("start"), F.lit(len("[INST]user\naa")).cast("long").alias("end")))
+    assert other["start"] > 13 and read_back(out.withColumn("loss_spans", user)).first().loss_sha256 == hashlib.sha256(b"aa").hexdigest()
+
+
+def test_long_conversations_and_texts(spark):
+    rows = [(None, t, "assistant" if t % 2 else "user", f"</s> {t}", 1) for t in range(3000)] + [(2, 0, "assistant", "é[INST]" * 50_000, 1)]
+    out = render(spark.createDataFrame(rows, SCHEMA))
+    got = {r.conv_id: r for r in read_back(out).collect()}
+    assert got[None].n_turns == 3000 and got[2].loss_chars == 350_000
+    assert got[None].loss_sha256 == hashlib.sha256("".join(f"</s> {t}" for t in range(1, 3000, 2)).encode()).hexdigest()

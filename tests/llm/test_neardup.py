@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from tidepack.llm import components as graph
 from tidepack.llm.components import components
-from tidepack.llm.neardup import Near, bands, estimate, near_duplicates, registers, shingles
+from tidepack.llm.neardup import CORPUS, Near, bands, estimate, near_duplicates, registers, shingles
 
 
 def plain(text, width):
@@ -81,8 +81,8 @@ def test_estimates_and_bands():
     assert max(map(abs, errors)) < 6 and hits == 90
 
 
-@pytest.mark.parametrize("local", [0, 1 << 20])
-def test_connected_components(spark, monkeypatch, local):
+@pytest.mark.parametrize("piece", [3, 1 << 20])
+def test_connected_components(spark, monkeypatch, piece):
     rng = random.Random(10)
     edges = [(i, i + 1) for i in range(100, 140)] + [(7, i) for i in range(200, 260)] + [(rng.randint(300, 400), rng.randint(300, 400)) for _ in range(60)]
     parent = {}
@@ -97,7 +97,26 @@ def test_connected_components(spark, monkeypatch, local):
         a, b = root(u), root(v)
         if u != v:
             parent[max(a, b)] = min(a, b)
-    monkeypatch.setattr(graph, "LOCAL", local)
+    monkeypatch.setattr(graph, "PIECE", piece)
     got = {r.node: r.component for r in components(spark.createDataFrame(edges, "u long, v long")).collect()}
     assert got == {x: root(x) for u, v in edges if u != v for x in (u, v)}
     assert components(spark.createDataFrame([], "u long, v long")).count() == 0
+
+
+def test_null_ids_are_linked_with_nothing(spark):
+    text = " ".join(f"w{i}" for i in range(30))
+    got = near_duplicates(spark.createDataFrame([(5, text), (None, text), (None, text), (3, text)], "doc_id long, text string")).collect()
+    assert sorted(((r.doc_id, r.component_id, r.kept) for r in got), key=str) == sorted([(5, 3, False), (3, 3, True), (None, None, True), (None, None, True)], key=str)
+
+
+def test_recall_for_corpora(spark):
+    """Pairs at and above 80 % of five-word shingles, as the pipeline takes them."""
+    rng = random.Random(12)
+    rows = []
+    for i in range(150):
+        words = [f"w{rng.randint(0, 10**6)}" for _ in range(rng.randint(40, 300))]
+        rows += [(2 * i, " ".join(words), 0), (2 * i + 1, " ".join(edited(rng, words, max(1, len(words) // 48))), 0)]
+    want = brute(rows, CORPUS.percent, CORPUS.width)
+    assert 40 < sum(not w[3] for w in want) < 145
+    got = near_duplicates(spark.createDataFrame(rows, "doc_id long, text string, cid int"), CORPUS).collect()
+    assert sorted((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in got) == want

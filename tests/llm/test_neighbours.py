@@ -38,10 +38,9 @@ def test_probing_finds_every_code_within_the_radius():
     codes = learn(v, float(np.linalg.norm(v, axis=1).max()))
     shard = Shard(codes, np.arange(900), v)
     for radius in (0, 3, codes.radius):
-        codes.radius = radius
         for code in codes.of(v[:40], True):
             apart = np.bitwise_count(shard.packed ^ code).sum(axis=1)
-            assert list(shard.within(code)) == list(np.flatnonzero(apart <= radius))
+            assert list(shard.within(code, radius)) == list(np.flatnonzero(apart <= radius))
 
 
 def test_odd_vectors_ties_and_few_rows(spark):

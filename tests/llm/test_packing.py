@@ -51,3 +51,37 @@ def test_pack_against_the_plain_tokenizer(spark):
         assert sum(n for _, n in parts) <= 4096
     assert len(held) <= sum(r.length for r in got) // 4096 + 2
     assert pack(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_sweeps_against_plain_best_fit():
+    """The same rounds over single documents and gaps."""
+    rng = random.Random(3)
+    for _ in range(60):
+        capacity = rng.choice([10, 37, 100])
+        docs = [rng.randint(1, capacity) for _ in range(rng.randint(0, 80))]
+        left, seqs = sorted(docs, reverse=True), []
+        while left:
+            most = sum(2 * d > capacity for d in left) or max(1, -(-sum(left) // capacity))
+            seqs += [[d] for d in left[:most]]
+            left = left[most:]
+            met = True
+            while met and left:
+                gaps = sorted((capacity - sum(s), i) for i, s in enumerate(seqs))
+                met, rest = False, []
+                for d in left:
+                    fit = next((g for g in gaps if g[0] >= d), None)
+                    if fit:
+                        gaps.remove(fit)
+                        seqs[fit[1]].append(d)
+                        met = True
+                    else:
+                        rest.append(d)
+                left = rest
+        found = {}
+        for size, _, n, first, offset in sweep(Counter(docs), capacity).tolist():
+            for k in range(n):
+                found.setdefault(first + k, []).append((offset, size))
+        assert sorted(sum(s) for s in seqs) == sorted(sum(x for _, x in s) for s in found.values())
+        assert sorted(sorted(s) for s in seqs) == sorted(sorted(x for _, x in s) for s in found.values())
+        for s in found.values():
+            assert [o for o, _ in sorted(s)] == [sum(x for _, x in sorted(s)[:i]) for i in range(len(s))]

@@ -47,3 +47,27 @@ def test_quality_handles_nulls_empty_tables_and_long_texts(spark):
     assert [got[i].kept for i in range(1, 6)] == [False, False, True, False, True]
     assert got[1].n_words == 0 and got[4].longest_repeat == 998
     assert quality(df.limit(0)).count() == 0
+
+
+def test_covered_words_and_verdicts_against_brute_force():
+    rng = random.Random(5)
+    limits = Limits(span=4, max_longest=9)
+    texts = []
+    for _ in range(60):
+        words = [f"w{rng.randint(0, 400)}" for _ in range(rng.randint(40, 120))]
+        passage = [f"p{rng.randint(0, 9**6)}" for _ in range(rng.randint(2, 12))]
+        for _ in range(rng.randint(0, 6)):
+            at = rng.randint(0, len(words))
+            words[at:at] = passage
+        texts.append(" ".join(words))
+    got = measure([t.encode() for t in texts], limits)
+    verdicts = set()
+    for i, t in enumerate(texts):
+        words = t.split()
+        longest = brute(words)
+        hit = {j + d for j, k in enumerate(longest) if k >= limits.span for d in range(k)}
+        assert (got["n_covered_words"][i], got["longest_repeat"][i]) == (len(hit), max(longest))
+        kept = not got["base_failed"][i] and len(hit) <= limits.max_covered * len(words) and max(longest) <= limits.max_longest
+        assert got["kept"][i] == kept
+        verdicts.add((bool(got["base_failed"][i]), kept))
+    assert len(verdicts) == 3

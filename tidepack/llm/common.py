@@ -18,6 +18,8 @@ from ..shipping import ship as send
 SLICE_ROWS, SLICE_BYTES = 512, 4 << 20
 #: Rows in one Arrow batch between the JVM and a worker.
 ARROW_ROWS = 1000
+#: Folders that materialize wrote.
+_written: set[str] = set()
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -40,10 +42,31 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tidepack-{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.parquet(path)
+    _written.add(path)
+    out = spark.read.parquet(path)
+    out._tidepack_path = path
+    return out
 
 
-def discard(spark: SparkSession) -> None:
+def _delete(spark: SparkSession, path: str) -> None:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+    _written.discard(path)
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes tables that materialize wrote, and nothing reads any more."""
+    for t in tables:
+        _delete(t.sparkSession, t._tidepack_path)
+
+
+def clean(spark: SparkSession) -> None:
+    """Deletes all that materialize wrote in this session: for callers, once they have written an operator's result."""
+    for path in list(_written):
+        _delete(spark, path)
+
+
+def forget(spark: SparkSession) -> None:
     """Lets the JVM find out which finished shuffles nothing refers to any more, so that their files are deleted."""
     gc.collect()
     spark.sparkContext._jvm.System.gc()

@@ -5,12 +5,15 @@ labels the position. A document's probabilities are the means over its positions
 `window` bytes, each read from a zero state, so all windows of a slice advance together and memory does not grow
 with a text; every byte of a text is in one window.
 
-Training is backpropagation through time with Adam, on the driver, on a bounded sample: of the labelled training
-rows at most `sample`, those with the smallest seeded hashes, one window from a seeded place in each. Rows whose
-crc32(doc_id) mod 5 is 0 are held out. The trained weights (about 30 kB) go to the tasks, which map over all texts.
+Training is backpropagation through time with Adam, on the driver, on a bounded sample: of all windows of all training
+texts about `sample`, for each label as many, those with the smallest seeded hashes; so every part of every text may be
+learned from, and a rare label is learned at any size. At most `labels` labels are learned, those with the most text.
+Rows whose crc32(doc_id) mod 5 is 0 are held out. The trained weights (about 30 kB) go to the tasks, which map over all
+texts.
 
 Null texts and texts without a letter are `und` with score 0; so is everything if nothing was learned. A null id
-belongs to the training rows. Repeated rows get equal results.
+belongs to the training rows. Repeated rows get equal results. Equal probabilities go to the label that sorts first.
+Empty tables give no rows. Other columns of docs are not looked at.
 """
 
 from __future__ import annotations
@@ -21,10 +24,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import map_arrow, sample_rows, slices, texts_of
+from .common import map_arrow, slices, texts_of
 
 UNKNOWN = "und"
 _LETTER = re.compile(r"[^\W\d_]")
@@ -32,11 +35,13 @@ _LETTER = re.compile(r"[^\W\d_]")
 
 @dataclass(frozen=True)
 class Training:
-    """hidden: units of each direction. sample: labelled rows used at most. window: bytes. batch, steps, rate: of
+    """hidden: units of each direction. sample: windows of labelled texts used, about. labels: learned at
+    most. window: bytes. batch, steps, rate: of
     the descent. together: windows that advance at once."""
 
     hidden: int = 6
     sample: int = 4096
+    labels: int = 256
     window: int = 64
     batch: int = 192
     steps: int = 220
@@ -195,12 +200,21 @@ def train(texts: list[bytes], labels: list[str], settings: Training = Training()
 
 def fit(docs: DataFrame, settings: Training = Training()) -> tuple[Network | None, list[str]]:
     """Learns from text and lang of training rows."""
-    draw = F.xxhash64(F.lit(settings.seed), "doc_id", "text")
-    rows = docs.filter(F.col("lang").isNotNull() & F.rlike("text", F.lit(r"\p{L}")) & ~held_out(F.col("doc_id"))).select("doc_id", "text", "lang", draw.alias("draw"))
-    start = F.pmod("draw", F.greatest(F.lit(1), F.char_length("text") - settings.window)).cast("int") + 1
-    rows = rows.select("draw", "lang", F.substring("text", start, F.lit(settings.window)).alias("part"))
-    total = docs.filter(F.col("lang").isNotNull()).count()
-    rows = sorted(sample_rows(rows, F.col("draw"), settings.sample, total).collect())
+    rows = docs.filter(F.col("lang").isNotNull() & F.rlike("text", F.lit(r"\p{L}")) & ~held_out(F.col("doc_id")))
+    count = F.ceil(F.char_length("text") / settings.window)
+    rows = rows.select("lang", "text", F.xxhash64(F.lit(settings.seed), "doc_id", "text").alias("draw"), count.alias("n"))
+    sizes = rows.groupBy("lang").agg(F.sum("n").alias("total")).orderBy(F.col("total").desc(), "lang").limit(settings.labels).collect()
+    quota = -(-settings.sample // max(1, len(sizes)))
+    # windows whose draw is not among the smallest four times as many are left out at once
+    parts = [(r.lang, int(min(1 << 40, (1 << 42) * quota // r.total))) for r in sizes]
+    least = F.broadcast(docs.sparkSession.createDataFrame(parts, "lang string, least long"))
+    draw = lambda k: F.pmod(F.xxhash64("draw", k), F.lit(1 << 40))
+    some = F.filter(F.sequence(F.lit(0).cast("long"), F.col("n") - 1), lambda k: draw(k) < F.col("least"))
+    rows = rows.join(least, "lang").withColumn("k", F.explode(some))
+    part = F.substring("text", (F.col("k") * settings.window + 1).cast("int"), F.lit(settings.window))
+    rows = rows.select("lang", draw(F.col("k")).alias("d"), part.alias("part"))
+    place = F.row_number().over(Window.partitionBy("lang").orderBy("d", "part"))
+    rows = sorted(rows.withColumn("place", place).filter(F.col("place") <= quota).select("lang", "d", "part").collect())
     return train([r.part.encode() for r in rows], [r.lang for r in rows], settings)
 
 

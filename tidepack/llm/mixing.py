@@ -111,7 +111,7 @@ def mix_documents(docs: DataFrame, settings: Mix = Mix(), carry: tuple[str, ...]
     shards = shards.withColumns({"passes": passes, "arc_from": start}).withColumn("arc_to", F.col("arc_from") + words - F.col("passes") * F.col("shard_size"))
     shards = materialize(shards.drop("quota"), "shards")
 
-    order = Window.partitionBy("place", "shard").orderBy("_draw", "doc_id", "size", *(f"kept_{c}" for c in carry)).rowsBetween(Window.unboundedPreceding, -1)
+    order = Window.partitionBy("place", "shard").orderBy("_draw", "doc_id", "size", *([F.xxhash64(*(f"kept_{c}" for c in carry))] if carry else [])).rowsBetween(Window.unboundedPreceding, -1)
     # the shard's documents lie on a circle, so the arc may go on at 0; the sort is within the shard that the join uses too
     df = placed(sized).drop("_source").withColumn("at", F.coalesce(F.sum("size").over(order), F.lit(0)))
     df = df.join(shards.drop("quota"), (F.col("place") == F.col("_place")) & (F.col("shard") == F.col("_shard")))

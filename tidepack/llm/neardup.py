@@ -1,25 +1,29 @@
 """Near-duplicate documents by HyperMinHash signatures, banding, estimates and exact confirmation.
 
-Signature: a document's distinct shingles (of three words, unless told otherwise) are hashed to 64 bits. The top 8 bits choose one of 256 buckets;
+Signature: a document's distinct shingles (of three words, unless told otherwise) are hashed to 64 bits. The top 8 bits
+choose one of 256 buckets;
 of the smallest hash in a bucket only the number of leading zeros and the next 10 bits stay, 16 bits a register.
 Empty registers borrow from others at fixed random distances (for the bands only), so short documents collide
 no more easily than long ones.
 
-Candidates: bands, by default 36 of 7 registers. Documents with equal sets (a 128-bit digest) are one class from the start and
-only its representative goes on. In each band bucket members are first compared with two centres, its smallest and
+Candidates: bands, by default 36 of 7 registers. Documents with equal sets (a 128-bit digest) are one class from the
+start and only its representative goes on. In each band bucket members are first compared with two centres, its smallest and
 its largest representative, not with each other; the confirmed links give components. Buckets whose members are
 then still in different components are compared in full, in pairs of blocks of bounded size, each by one product of
-incidence matrices, and only the links that join components come back. Members for which a part of the registers rules
-out every partner are left out before. So no pair that shares a band is lost, groups
-of copies cost as many comparisons as they have members, and no pairs are listed. At 85 % similarity a
-pair shares none with probability (1 - 0.85 ** 7) ** 36 < 1e-6.
+incidence matrices, and only the links that join components come back. Members whose sizes and estimates rule out
+every partner are left out before. So no pair that shares a band is lost, groups of copies cost as many comparisons as
+they have members, and no pairs are listed. At 85 % similarity a pair shares none with probability
+(1 - 0.85 ** 7) ** 36 < 1e-6.
 
 Before confirmation a candidate's size ratio and its estimate are checked: registers that agree, less the number
 that would agree by chance (the collision correction), over registers in use. Those further below the threshold
-than six standard errors are dropped. The rest are confirmed on the full sets, built again from the whole texts.
+than six standard errors, of an estimate at the threshold, are dropped. The rest are confirmed on the full sets, built
+again from the whole texts.
 
 Null or empty texts, and those without words, have no shingles and are linked with nothing. A document with fewer
-words than a shingle has one shingle, the whole sequence. Repeated rows are linked like copies.
+words than a shingle has one shingle, the whole sequence. Repeated rows are linked like copies. A row with a null id is
+linked with nothing and kept, whatever its text. Very long texts are read whole. Empty tables give no rows. Other columns
+of docs are not looked at.
 """
 
 from __future__ import annotations
@@ -38,12 +42,9 @@ from .components import components
 
 BUCKETS, MANTISSA = 256, 10
 #: Shingles of a block, and pairs of it, that are looked at together.
-COLUMNS, PAIRS = 4096, 100_000
-#: Registers that members of a bucket are compared by before their sets are sent.
-PART = 64
-#: Words whose hashes a worker remembers.
-REMEMBER = 500_000
-_hashes: dict[bytes, int] = {}
+COLUMNS, PAIRS = 4096, 20_000
+#: Words whose hashes a task remembers.
+REMEMBER = 200_000
 _K = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9], np.uint64)
 
 
@@ -69,12 +70,12 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def shingles(text: bytes, width: int = 3) -> np.ndarray:
-    """The sorted distinct hashes of a text's shingles."""
+def shingles(text: bytes, width: int = 3, known: dict[bytes, int] | None = None) -> np.ndarray:
+    """The sorted distinct hashes of a text's shingles. known: hashes of words, to be added to."""
     words = text.lower().split()
     if not words:
         return np.zeros(0, np.uint64)
-    known = _hashes
+    known = {} if known is None else known
     if len(known) > REMEMBER:
         known.clear()
     for w in {w for w in words if w not in known}:  # a difference with the keys would walk through all of them
@@ -122,9 +123,8 @@ def bands(regs: np.ndarray, near: Near = Near()) -> np.ndarray:
     return key.view(np.int64)
 
 
-def estimate(a: np.ndarray, b: np.ndarray, n_a: np.ndarray, n_b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Corrected similarity of register rows (all 256, or the same part of them), and its standard error at a
-    similarity of 0.85."""
+def estimate(a: np.ndarray, b: np.ndarray, n_a: np.ndarray, n_b: np.ndarray, share: float = 0.85) -> tuple[np.ndarray, np.ndarray]:
+    """Corrected similarity of register rows, and its standard error at a similarity of `share`."""
     used = np.maximum(((a > 0) | (b > 0)).sum(axis=1), 1)
     agree = ((a == b) & (a > 0)).sum(axis=1)
     x, y = n_a[:, None] / BUCKETS, n_b[:, None] / BUCKETS
@@ -132,7 +132,7 @@ def estimate(a: np.ndarray, b: np.ndarray, n_a: np.ndarray, n_b: np.ndarray) ->
     low, width = high / 2, high / 2 / (1 << MANTISSA)
     # two independent minima fall into the same cell: density x * y * exp(-(x + y) t), cells of a width in [low, high)
     chance = (x * y / (x + y) * (np.exp(-(x + y) * low) - np.exp(-(x + y) * high)) * width).sum(axis=1) * a.shape[1]
-    return np.clip((agree - chance) / np.maximum(used - chance, 1e-9), 0, 1), np.sqrt(0.85 * 0.15 / used)
+    return np.clip((agree - chance) / np.maximum(used - chance, 1e-9), 0, 1), np.sqrt(share * (1 - share) / used)
 
 
 def text_key(text: Column) -> Column:
@@ -141,8 +141,9 @@ def text_key(text: Column) -> Column:
 
 def signatures(docs: DataFrame, near: Near = Near()) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[bytes, int] = {}
         for batch in slices(batches):
-            sets = [shingles(t, near.width) for t in texts_of(batch)]
+            sets = [shingles(t, near.width, known) for t in texts_of(batch)]
             regs = np.stack([registers(s) for s in sets])
             some = np.array([len(s) > 0 for s in sets])
             keys = np.zeros((len(sets), near.bands), np.int64)
@@ -174,21 +175,22 @@ def _plausible(pairs: DataFrame, near: Near) -> DataFrame:
                 continue
             at = {n: batch.column(i) for i, n in enumerate(batch.schema.names)}
             regs = [np.frombuffer(b"".join(at[c].to_pylist()), np.uint16).reshape(-1, BUCKETS) for c in ("u_regs", "v_regs")]
-            got, error = estimate(*regs, *(at[c].to_numpy(zero_copy_only=False).astype(float) for c in ("u_n", "v_n")))
+            got, error = estimate(*regs, *(at[c].to_numpy(zero_copy_only=False).astype(float) for c in ("u_n", "v_n")), share)
             yield pa.RecordBatch.from_arrays([at["u"], at["v"]], names=["u", "v"]).filter(pa.array(got >= share - 6 * error))
 
     return map_arrow(pairs, run, "u long, v long")
 
 
 def _sets(docs: DataFrame, near: Near) -> DataFrame:
-    """cid, set: the full sets of documents, hashed, by class."""
+    """digest, set: the full sets of documents, hashed."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[bytes, int] = {}
         for batch in slices(batches):
-            sets = [shingles(t, near.width).tobytes() for t in texts_of(batch)]
+            sets = [shingles(t, near.width, known).tobytes() for t in texts_of(batch)]
             yield pa.RecordBatch.from_arrays([pa.array([xxhash.xxh3_128_digest(s) for s in sets], pa.binary()), pa.array(sets, pa.binary())], names=["digest", "set"])
 
-    return map_arrow(pick(docs, "doc_id", "text"), run, "digest binary, set binary").select(F.xxhash64("digest").alias("cid"), "set")
+    return map_arrow(pick(docs, "doc_id", "text"), run, "digest binary, set binary")
 
 
 def _confirmed(pairs: DataFrame, near: Near) -> DataFrame:
@@ -239,9 +241,12 @@ def _promising(regs: np.ndarray, n: np.ndarray, comp: np.ndarray, apart: np.ndar
     for k in range(0, len(u), PAIRS):
         a, b = u[k : k + PAIRS], v[k : k + PAIRS]
         x, y = regs[a], regs[b]
-        used = np.maximum(((x | y) > 0).sum(axis=1), 1)
-        # chance agreements only raise this, so nothing is lost by leaving the correction out here
-        good = ((x == y) & (x > 0)).sum(axis=1) / used >= near.percent / 100 - 6 * np.sqrt(0.85 * 0.15 / used)
+        share, used = near.percent / 100, np.maximum(((x | y) > 0).sum(axis=1), 1)
+        # chance agreements only raise the share of registers that agree, so few need the correction
+        high = ((x == y) & (x > 0)).sum(axis=1) / used >= share - 6 * np.sqrt(share * (1 - share) / used)
+        a, b = a[high], b[high]
+        got, error = estimate(regs[a], regs[b], n[a].astype(float), n[b].astype(float), share)
+        good = got >= share - 6 * error
         found[a[good]] = found[b[good]] = True
     return found
 
@@ -269,7 +274,7 @@ def _in_groups(members: DataFrame, value: str, work, schema: str) -> DataFrame:
 
 
 def _narrowed(members: DataFrame, near: Near) -> DataFrame:
-    """Those members, with part of their registers, that a partner may be linked with."""
+    """Those members that a partner may be linked with."""
 
     def work(group: list, rows: list[tuple]) -> pa.RecordBatch:
         side, cid, comp, n = (np.array([r[k] for r in rows]) for k in range(4))
@@ -279,7 +284,7 @@ def _narrowed(members: DataFrame, near: Near) -> DataFrame:
         kinds = (pa.int32(), pa.int64(), pa.int64(), pa.int64())
         return pa.RecordBatch.from_arrays([*fixed, *(pa.array(x[keep], t) for x, t in zip((side, cid, comp, n), kinds, strict=True))], names=["key", "i", "j", "side", "cid", "comp", "n"])
 
-    return _in_groups(members, "part", work, "key long, i int, j int, side int, cid long, comp long, n long")
+    return _in_groups(members, "regs", work, "key long, i int, j int, side int, cid long, comp long, n long")
 
 
 def _joining(members: DataFrame, near: Near) -> DataFrame:
@@ -299,8 +304,8 @@ def _joining(members: DataFrame, near: Near) -> DataFrame:
 
 
 def links(docs: DataFrame, classes: DataFrame, near: Near) -> DataFrame:
-    """node, component: confirmed links between classes (cid, rep, n, regs, bands; one row per distinct set) joined
-    up. Classes without links need not appear."""
+    """node, component: confirmed links between classes (cid, digest, rep, n, regs, bands; one row per distinct set)
+    joined up. Classes without links need not appear."""
     share = near.percent / 100
     keys = classes.select("cid", "n", F.explode("bands").alias("key"))
     crowd = keys.groupBy("key").agg(F.count("*").alias("c"), F.min("cid").alias("low"), F.max("cid").alias("high")).filter("c > 1")
@@ -308,9 +313,9 @@ def links(docs: DataFrame, classes: DataFrame, near: Near) -> DataFrame:
 
     def sets_of(cids: DataFrame) -> DataFrame:
         """cid, set. Ids may be repeated with other texts, so a set counts for its class, not for its id."""
-        named = cids.distinct().join(classes.select("cid", "rep"), "cid")
+        named = cids.distinct().join(classes.select("cid", "digest", "rep"), "cid")
         sets = _sets(docs.join(named.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi"), near)
-        return materialize(sets.join(named.select("cid"), "cid", "left_semi").groupBy("cid").agg(F.first("set").alias("set")), "sets")
+        return materialize(sets.join(named.select("cid", "digest"), "digest").groupBy("cid").agg(F.first("set").alias("set")), "sets")
 
     # members with the centres
     pairs = member.select(F.col("cid").alias("u"), F.explode(F.array("low", "high")).alias("v"))
@@ -334,8 +339,7 @@ def links(docs: DataFrame, classes: DataFrame, near: Near) -> DataFrame:
     # block b meets itself and every other: (b, b), (b, j) and (i, b)
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     at = at.withColumn("o", other).select("key", F.least("b", "o").alias("i"), F.greatest("b", "o").alias("j"), F.when(F.col("b") == F.col("o"), 0).when(F.col("b") < F.col("o"), 1).otherwise(2).alias("side"), "cid", "comp", "n")
-    part = classes.select("cid", F.substring("regs", 1, 2 * PART).alias("part"))
-    at = materialize(_narrowed(at.join(part, "cid"), near), "members")
+    at = materialize(_narrowed(at.join(classes.select("cid", "regs"), "cid"), near), "members")
     more = materialize(_joining(at.join(sets_of(at.select("cid")), "cid"), near), "links")
     return label if more.isEmpty() else components(found.union(more))
 
@@ -343,15 +347,16 @@ def links(docs: DataFrame, classes: DataFrame, near: Near) -> DataFrame:
 def _placed(docs: DataFrame, near: Near) -> DataFrame:
     """One row per document: doc_id, text_key, n_shingles, cid (the class of its set, null without shingles),
     component_id, first (the class that stays of its component: the smallest of those that hold the component's id)."""
-    sigs = materialize(signatures(docs, near), "signatures").withColumn("cid", F.xxhash64("digest"))
-    classes = sigs.filter("digest is not null and doc_id is not null").groupBy("cid").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("regs").alias("regs"), F.first("bands").alias("bands"))
-    classes = materialize(classes, "classes")
+    sigs = materialize(signatures(docs, near), "signatures").withColumn("digest", F.when(F.col("doc_id").isNotNull(), F.col("digest")))
+    classes = sigs.filter("digest is not null").groupBy("digest").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("regs").alias("regs"), F.first("bands").alias("bands"))
+    # numbered once, when the table is written
+    classes = materialize(classes.withColumn("cid", F.monotonically_increasing_id()), "classes")
     label = links(docs, classes, near)
     least = label.join(classes.select(F.col("cid").alias("node"), "rep"), "node").groupBy("component").agg(F.min(F.struct("rep", "node")).alias("least"))
     linked = label.join(least, "component").select("node", "least")
-    place = classes.select(F.col("cid").alias("class"), "rep").join(linked, F.col("class") == F.col("node"), "left")
-    place = materialize(place.select("class", F.coalesce("least.rep", "rep").alias("component_id"), F.coalesce("least.node", "class").alias("first")), "places")
-    df = sigs.join(place, (F.col("cid") == F.col("class")) & F.col("digest").isNotNull(), "left")
+    place = classes.select("digest", F.col("cid").alias("class"), "rep").join(linked, F.col("class") == F.col("node"), "left")
+    place = materialize(place.select(F.col("digest").alias("_digest"), "class", F.coalesce("least.rep", "rep").alias("component_id"), F.coalesce("least.node", "class").alias("first")), "places")
+    df = sigs.join(place, F.col("digest") == F.col("_digest"), "left")
     return df.select("doc_id", "text_key", "n_shingles", F.col("class").alias("cid"), F.coalesce("component_id", "doc_id").alias("component_id"), "first")
 
 

@@ -8,8 +8,8 @@ More rows only bring neighbours closer, so it is a safe radius for all of them.
 Index: every row. Rows are dealt to shards of bounded size by a hash of their id; in a shard each 8-bit substring of
 the codes has a table of buckets. A code within radius r agrees with the query's up to r // m bits in one of m
 substrings at least (pigeonhole), so probing all buckets that near in each table finds every code within the radius.
-Those that pass the full distance are ranked by their inner products in double precision. A shard that gives too
-few goes on with its next nearest codes. Blocks of queries meet shards of rows; each meeting gives `k` rows for a
+Those that pass the full distance are ranked by their inner products in double precision. Where a shard gives a query
+fewer than `k`, the radius grows by a bit in every substring until there are as many, or all. Blocks of queries meet shards of rows; each meeting gives `k` rows for a
 query at most, and a window merges them.
 
 Vectors that are null or zero, that hold null or non-finite components, or whose dimension is not the most frequent
@@ -103,24 +103,24 @@ class Shard:
         self.repeated = len(np.unique(ids)) < len(ids)
         self.tables = [(np.argsort(c, kind="stable"), np.bincount(c, minlength=256)) for c in self.packed.T]
 
-    def within(self, code: np.ndarray) -> np.ndarray:
+    def within(self, code: np.ndarray, radius: int) -> np.ndarray:
         """Rows whose codes are within the radius."""
         found = np.zeros(len(self.ids), bool)
-        near = self.codes.radius // len(self.tables)
+        near = radius // len(self.tables)
         for byte, (order, sizes) in zip(code, self.tables, strict=True):
             found[order[np.repeat(_BITS[byte] <= near, sizes)]] = True
         rows = np.flatnonzero(found)
-        return rows[np.bitwise_count(self.packed[rows] ^ code).sum(axis=1, dtype=np.int64) <= self.codes.radius]
+        return rows[np.bitwise_count(self.packed[rows] ^ code).sum(axis=1, dtype=np.int64) <= radius]
 
     def nearest(self, query_id: int, vector: np.ndarray, code: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-        rows = self.within(code)
-        rows = rows[self.ids[rows] != query_id]
-        if len(rows) < k or (self.repeated and len(np.unique(self.ids[rows])) < k):
-            others = np.flatnonzero(self.ids != query_id)
-            apart = np.bitwise_count(self.packed[others] ^ code).sum(axis=1, dtype=np.int64)
-            others = others[np.argsort(apart, kind="stable")]
-            first = np.sort(np.unique(self.ids[others], return_index=True)[1])[: 4 * k]
-            rows = others[: first[-1] + 1] if len(first) else others
+        radius, bits = self.codes.radius, 8 * len(self.tables)
+        while True:
+            rows = self.within(code, radius)
+            rows = rows[self.ids[rows] != query_id]
+            enough = len(np.unique(self.ids[rows])) if self.repeated else len(rows)
+            if enough >= k or radius >= bits:
+                break
+            radius += len(self.tables)  # one bit more in every substring
         return best(self.ids[rows], (self.vectors[rows] * vector).sum(axis=1), k)
 
 

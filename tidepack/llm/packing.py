@@ -8,7 +8,8 @@ begins; where nothing fits any more, the largest documents left open new sequenc
 Sizes are whole numbers up to the sequence length, so documents and gaps of one size are told apart by their
 rank alone and a round is a sweep over at most `capacity` run-length classes, whatever the number of documents.
 The driver sweeps these classes (`sweep`); the cluster tokenises, counts, ranks documents within their size
-(in salted buckets, so that a size shared by a third of all documents is no hot group) and looks each document's
+(a size of more than BUCKET_ROWS pieces in buckets, so that one shared by a third of all documents is no hot group)
+and looks each document's
 place up by its rank. What is sent to the executors is the list of matches between runs, a few rows per class
 and round.
 
@@ -178,12 +179,15 @@ def sweep(counts: dict[int, int], capacity: int = CAPACITY) -> np.ndarray:
 def pack(docs: DataFrame, vocabulary: str | None = None, capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
     """One row per piece with its sequence and its offset there."""
     cut = materialize(pieces(docs, vocabulary, capacity, end_id), "pieces")
-    buckets = max(1, -(-cut.count() // BUCKET_ROWS))
-    cut = cut.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "piece", "start"), F.lit(buckets)))
+    counts = {r.length: r.n for r in cut.groupBy("length").agg(F.count("*").alias("n")).collect()}  # `capacity` at most
+    hot = [(size, -(-n // BUCKET_ROWS)) for size, n in counts.items() if n > BUCKET_ROWS]
+    hot = F.broadcast(docs.sparkSession.createDataFrame(hot, "length long, buckets long"))
+    salt = F.pmod(F.xxhash64("doc_id", "piece", "start"), F.coalesce("buckets", F.lit(1)))
+    cut = cut.join(hot, "length", "left").withColumn("bucket", salt)
     sizes = cut.groupBy("length", "bucket").agg(F.count("*").alias("n"))
     before = Window.partitionBy("length").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     first = sizes.select("length", "bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
-    matches = sweep({r.length: r.n for r in sizes.groupBy("length").agg(F.sum("n").alias("n")).collect()}, capacity)
+    matches = sweep(counts, capacity)
     matches = matches[np.lexsort((matches[:, 1], matches[:, 0]))]
     names = ["doc_id", "piece", "start", "length", "ids_crc32"]
 

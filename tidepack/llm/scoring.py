@@ -40,7 +40,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, map_arrow, materialize, pick, slices, texts_of
+from .common import forget, map_arrow, materialize, pick, slices, texts_of
 
 #: What stands for the lower order in states of pairs and of words; what is taken off the times of words.
 STRONG, WEAK, DISCOUNT = 4.0, 1000.0, 0.5
@@ -293,7 +293,7 @@ def _summed(parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> tuple[np.
 
 def score(docs: DataFrame) -> DataFrame:
     """One row per document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
-    rows = kept = materialize(blocks(pick(docs, "doc_id", "text")), "blocks")
+    rows = materialize(blocks(pick(docs, "doc_id", "text")), "blocks")
     size = rows.agg(F.coalesce(F.sum("total"), F.lit(0)).alias("words"), F.coalesce(F.sum(F.octet_length("body")), F.lit(0)).alias("bytes")).first()
     # about as many tables as requests need; a block's body has no fewer bytes than tokens
     many = {WORDS: size.words, PAIRS: size.bytes, TRIPLES: size.bytes}
@@ -306,7 +306,7 @@ def score(docs: DataFrame) -> DataFrame:
             sums = answers.agg(F.coalesce(F.sum("total"), F.lit(0)).alias("total"), F.coalesce(F.sum("distinct"), F.lit(0)).alias("distinct")).first()
             total, distinct = sums.total, sums.distinct
         rows = rows.union(answers)
-        discard(kept.sparkSession)
+        forget(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, group in received(batches):
