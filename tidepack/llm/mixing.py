@@ -12,8 +12,10 @@ about `shard_words` words, so a hot source is many shards and a small one is one
 end to end in a seeded order, a circle of words; the quota takes whole passes and then an arc of blocks from a
 seeded start. A document's words are its overlap with these; no document is taken more than `most` times.
 
-Null texts have size 0. Null sources are one source. Rows that repeat are documents of their own; the order among
-equal rows does not matter. Documents without words, and empty tables, take nothing.
+Null texts have size 0. Null sources are one source. Documents with null ids are dealt to shards by their texts. Rows that
+repeat are documents of their own; the order among equal rows does not matter. Documents without words, and empty tables,
+take nothing. A text longer than a shard is a shard's most part, whole. Other columns of docs are not looked at, but for
+those to carry.
 """
 
 from __future__ import annotations
@@ -86,13 +88,15 @@ def targets(sources: DataFrame, mix: Mix) -> DataFrame:
 def mix_documents(docs: DataFrame, settings: Mix = Mix(), carry: tuple[str, ...] = ()) -> DataFrame:
     """One row per document: doc_id, size, source_size, target, taken, and how it is taken: `passes` whole copies
     and the words [from1, to1) and [from2, to2). carry: further columns of docs to keep."""
-    sized = docs.select("doc_id", "source", n_words(F.col("text")).alias("size"), *(F.col(c).alias(f"kept_{c}") for c in carry))
+    # what a document is drawn by: its id, or without one its text
+    key = F.coalesce(F.col("doc_id").cast("string"), F.md5(F.coalesce("text", F.lit("")).cast("binary"))).alias("_key")
+    sized = docs.select("doc_id", "source", n_words(F.col("text")).alias("size"), key, *(F.col(c).alias(f"kept_{c}") for c in carry))
     if carry:
-        sizes = docs.select("doc_id", "source", n_words(F.col("text")).alias("size"))
+        sizes = docs.select("doc_id", "source", n_words(F.col("text")).alias("size"), key)
     else:
         sizes = sized = materialize(sized, "sizes")
     b, m = settings.block, settings.most
-    drawn = F.md5(F.concat_ws(":", F.lit(settings.seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("-"))).cast("binary"))
+    drawn = F.md5(F.concat_ws(":", F.lit(settings.seed), "_key").cast("binary"))
 
     sources = targets(sizes.groupBy("source").agg(F.sum("size").alias("source_size")), settings)
     sources = apportion(sources.withColumn("one", F.lit(0)), ["one"], "place", "target", "blocks").drop("one", "blocks")

@@ -13,7 +13,7 @@ _SEATS = """
 
 OP7 = """
 with sized as (
-  select doc_id, source, coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0) as size, md5('mix-1:' || coalesce(cast(doc_id as varchar), '-')) as draw from documents),
+  select doc_id, source, coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0) as size, md5('mix-1:' || coalesce(cast(doc_id as varchar), md5(coalesce(text, '')))) as draw from documents),
   src as (select source, sum(size)::bigint as source_size, row_number() over (order by source collate "binary" nulls last) as place from sized group by source),
   w as (select *, case (place - 1) % 3 when 0 then 3 when 1 then 1 else 2 end as weight, 1.5::double * sum(source_size) over () as total from src),
   r as (select *, 2 * source_size / weight as ratio from w),
