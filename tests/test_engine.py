@@ -192,3 +192,52 @@ def test_settings(tmp_path, monkeypatch):
     assert Settings.load(None, batch=70).batch == 70
     with pytest.raises(ValueError):
         Settings.load(None, other=1)
+
+
+def test_concatenate_short_series(spark):
+    frame = lambda *xs: spark.createDataFrame([(0, i, x) for i, x in enumerate(xs)], "part int, row_idx long, x long")
+    out = R.concatenate(frame(7), frame(), frame(8, 9), frame(10))
+    assert values(out, "row_idx", "x") == [(0, 7), (1, 8), (2, 9), (3, 10)]
+
+
+@pytest.mark.parametrize("encode", [R.delta_encode, R.scale_encode, R.rle_encode, R.dict_encode, R.unique_encode, R.const_encode, R.patch_encode])
+def test_relational_encodings_refuse_nulls(spark, encode):
+    df = spark.createDataFrame([(0, 0, None), (0, 1, 3), (0, 2, 3)], "part int, row_idx long, x long")
+    with pytest.raises(Exception, match="nulls"):
+        encode(df).collect()
+
+
+@pytest.mark.parametrize(("kind", "xs"), [("long", [2**63 - 1, -(2**63), 0, 5, -1, 2**62]), ("int", [2**31 - 1, -(2**31), 7]), ("byte", [127, -128, 3, -1]), ("double", [0.1, -0.0, 1e308, float("nan"), -1e-300, 0.3]), ("float", [1.5, -0.0, float("inf"), 2.25])])
+def test_deltas_and_scales_lose_nothing(spark, kind, xs):
+    df = spark.createDataFrame([(i // 3, i, x) for i, x in enumerate(xs)], f"part int, row_idx long, x {kind}")
+    want = [str(x) for x in xs]
+    float_kind = kind if kind in ("float", "double") else None
+    assert [str(x) for (x,) in values(R.delta_decode(R.delta_encode(df), float_kind), "x")] == want
+    assert [str(x) for (x,) in values(R.scale_decode(R.scale_encode(df), float_kind), "x")] == want
+    d = DTYPES[{"long": "time", "byte": "char"}.get(kind, kind)]
+    deltas = [x for (x,) in values(R.delta_encode(df.withColumn("part", F.lit(0))), "x")]
+    assert deltas[1:] == list(CODECS["delta"].encode(np.array(xs, d.numpy), d).outputs[0])
+
+
+def test_binary_files_are_replaced_and_checked(spark, tmp_path):
+    df = spark.createDataFrame([(i, i * 2) for i in range(4000)], "row_idx long, a int").repartition(6)
+    at = f"{tmp_path}/b"
+    write_binary(df, at, "a,int,0\n")
+    write_binary(df.filter("row_idx < 3"), at, "a,int,0\n")
+    assert [tuple(r) for r in read_binary(spark, at, "a,int,0\n").orderBy("row_idx").collect()] == [(0, 0), (1, 2), (2, 4)]
+    with open(sorted((tmp_path / "b").glob("*.bin"))[0], "ab") as f:
+        f.write(b"x")
+    with pytest.raises(Exception, match="record"):
+        read_binary(spark, at, "a,int,0\n").collect()
+    with pytest.raises(Exception, match="nulls"):
+        write_binary(spark.createDataFrame([(0, None)], "row_idx long, a int"), at, "a,int,0\n")
+
+
+def test_segments_give_whole_numbers_exactly(spark):
+    from tidepack.functions import blobs
+
+    blobs.register(spark)
+    big = [2**53 + 1, -(2**62) - 1]
+    spark.createDataFrame([(big,)], "v array<bigint>").select(blobs.encode_blob(F.col("v"), "time").alias("b")).createOrReplaceTempView("big_blobs")
+    rows = spark.sql("select at, whole from big_blobs t, lateral decode_segment(t.b)").collect()
+    assert [r.whole for r in rows] == big

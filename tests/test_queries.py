@@ -24,7 +24,6 @@ def tables():
 def test_query_agrees_with_its_sql(spark, tables, name):
     df = QUERIES[name](spark, SF)
     got = df.collect()
-    assert got
     if name in ORACLES:
         found = tables.sql(ORACLES[name])
         names = sorted(c[0] for c in found.description)
@@ -32,3 +31,4 @@ def test_query_agrees_with_its_sql(spark, tables, name):
         want = [dict(zip([c[0] for c in found.description], r, strict=True)) for r in found.fetchall()]
         rows = lambda rs: sorted((tuple(plain(r[n]) for n in names) for r in rs), key=str)
         assert rows(got) == rows(want)
+    assert got

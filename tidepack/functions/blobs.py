@@ -22,13 +22,15 @@ def _encoder(dtype: str, plan: str | None):
     fixed = Plan.parse(plan).fixed(d) if plan else None
 
     def encode(column: pa.Array) -> pa.Array:
-        def one(v):
-            if v is None:
+        def one(v: pa.ListScalar):
+            if not v.is_valid:
                 return None
-            x = np.array(v, d.numpy)
+            if v.values.null_count:
+                raise ValueError("an array holds nulls; a series has none")
+            x = v.values.to_numpy(zero_copy_only=False).astype(d.numpy, copy=False)
             return compress(fixed, x, d) if fixed else independent(x, d)[0]
 
-        return pa.array([one(v) for v in column.to_pylist()], pa.binary())
+        return pa.array([one(v) for v in column], pa.binary())
 
     return F.arrow_udf(encode, T.BinaryType())
 
@@ -43,7 +45,11 @@ def _decoder(dtype: str):
     kind = pa.list_(pa.from_numpy_dtype(d.numpy))
 
     def decode(column: pa.Array) -> pa.Array:
-        return pa.array([None if b is None else decompress(b).astype(d.numpy) for b in column.to_pylist()], kind, from_pandas=False)
+        parts = [None if b is None else decompress(b).astype(d.numpy, copy=False) for b in column.to_pylist()]
+        ends = np.cumsum([0, *(0 if p is None else len(p) for p in parts)])
+        values = np.concatenate([np.zeros(0, d.numpy), *(p for p in parts if p is not None)])
+        empty = pa.array([p is None for p in parts], pa.bool_())
+        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(values, kind.value_type), mask=empty)
 
     return F.arrow_udf(decode, T.ArrayType(d.spark))
 
@@ -72,6 +78,10 @@ def double_bits(x: Column) -> Column:
     return _view(x.cast("double"), "i8", pa.int64(), T.LongType())
 
 
+def bits_double(bits: Column) -> Column:
+    return _view(bits.cast("long"), "f8", pa.float64(), T.DoubleType())
+
+
 def bit_fields(bits: Column) -> Column:
     """sign, exponent, mantissa of a float's bits."""
     b = bits.cast("long")
@@ -79,12 +89,13 @@ def bit_fields(bits: Column) -> Column:
 
 
 class DecodeSegment:
-    """A segment's values as rows (at, value); floating point values as doubles, integers exactly below 2 ** 53."""
+    """A segment's values as rows (at, value, whole): value as a double; whole, for integers, exactly. Row by
+    row, since SQL allows no Arrow table function in a lateral join; decode_blob and explode stay in Arrow."""
 
     def eval(self, payload):
         if payload is not None:
             for i, v in enumerate(decompress(bytes(payload)).tolist()):
-                yield i, float(v)
+                yield i, float(v), None if isinstance(v, float) else v
 
 
 def register(spark: SparkSession) -> None:
@@ -93,4 +104,4 @@ def register(spark: SparkSession) -> None:
     ship(spark)
     spark.udf.register("encode_blob", _encoder("double", None))
     spark.udf.register("decode_blob", _decoder("double"))
-    spark.udtf.register("decode_segment", F.udtf(DecodeSegment, returnType="at int, value double"))
+    spark.udtf.register("decode_segment", F.udtf(DecodeSegment, returnType="at int, value double, whole long"))

@@ -12,6 +12,24 @@ def wrap(x: Column, bits: int) -> Column:
     return (x.cast("long") + half).bitwiseAND(F.lit((1 << bits) - 1)) - half
 
 
+_LOW = 0xFFFFFFFF
+
+
+def _joined(high: Column, low: Column) -> Column:
+    """high * 2 ** 32 + low as a BIGINT; what is above 64 bits is lost, as in C."""
+    return F.shiftleft(high + F.shiftright(low, 32), 32).bitwiseOR(low.bitwiseAND(F.lit(_LOW)))
+
+
+def wrapping_sum(x: Column, total) -> Column:
+    """total(x), a sum of BIGINTs over fewer than 2 ** 31 rows, that wraps at 64 bits; total: F.sum with its window."""
+    return _joined(total(F.shiftright(x, 32)), total(x.bitwiseAND(F.lit(_LOW))))
+
+
+def wrapping_difference(a: Column, b: Column) -> Column:
+    """a - b of BIGINTs, wrapped at 64 bits."""
+    return _joined(F.shiftright(a, 32) - F.shiftright(b, 32), a.bitwiseAND(F.lit(_LOW)) - b.bitwiseAND(F.lit(_LOW)))
+
+
 def cast_int(x: Column) -> Column:
     """Truncates towards zero and wraps to 32 bits."""
     return wrap(F.when(x < 0, F.ceil(x)).otherwise(F.floor(x)).cast("long"), 32).cast("int")
@@ -37,6 +55,11 @@ def divide(x: Column, by) -> Column:
     return x / by
 
 
+def divide_whole(x: Column, by) -> Column:
+    """Division of integers, towards zero."""
+    return F.call_function("div", x, F.lit(by))
+
+
 def absolute(x: Column) -> Column:
     return F.abs(x)
 

@@ -2,6 +2,9 @@
 
 Frames have the columns part, row_idx (dense within the series) and x. Everything that depends on neighbours is
 a window partitioned by part, so parts are spread over the cluster and no window spans the series.
+
+Series hold no nulls: encodings refuse them. Integers wrap at their width, as in C. Deltas and frames of reference of
+floating point values are those of their bits, which decoding is told by `kind` (float or double).
 """
 
 from __future__ import annotations
@@ -10,7 +13,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.window import WindowSpec
 
+from ..functions import blobs
+from ..functions.dtypes import of_spark
+from ..functions.transforms import wrap, wrapping_difference, wrapping_sum
 
+#: Aggregates that reduce() knows.
+REDUCTIONS = {"sum": F.sum, "product": F.product, "min": F.min, "max": F.max, "bit_and": F.bit_and, "bit_or": F.bit_or, "bit_xor": F.bit_xor}
 
 def whole() -> WindowSpec:
     return Window.partitionBy("part")
@@ -34,6 +42,27 @@ def series(df: DataFrame, index: str, x: Column, batch: int = 1000) -> DataFrame
     return df.select(F.floor(i / batch).cast("int").alias("part"), i.alias("row_idx"), x.alias("x"))
 
 
+def whole_series(df: DataFrame) -> DataFrame:
+    """df, where a null in x is an error."""
+    x = F.when(F.col("x").isNull(), F.raise_error(F.lit("x holds nulls; a series has none")).cast(df.schema["x"].dataType)).otherwise(F.col("x"))
+    return df.withColumn("x", x)
+
+
+def _integers(df: DataFrame) -> DataFrame:
+    """Without nulls, and floating point values as their bits."""
+    kind = of_spark(df.schema["x"].dataType)
+    df = whole_series(df)
+    if not kind.is_float:
+        return df
+    return df.withColumn("x", blobs.double_bits(F.col("x")) if kind.name == "double" else blobs.float_bits(F.col("x")))
+
+
+def _values(df: DataFrame, kind: str | None) -> DataFrame:
+    if kind not in ("float", "double"):
+        return df
+    return df.withColumn("x", blobs.bits_double(F.col("x")) if kind == "double" else blobs.bits_float(F.col("x")))
+
+
 # --- scans -----------------------------------------------------------------------------------------------------
 
 
@@ -59,26 +88,36 @@ def lookahead(df: DataFrame, window: int = 2) -> DataFrame:
 
 def delta_encode(df: DataFrame) -> DataFrame:
     """x becomes its difference to the value before; the first of a part stays."""
-    return df.withColumn("x", F.col("x") - F.coalesce(F.lag("x").over(ordered()), F.lit(0)))
+    df = _integers(df)
+    kind = of_spark(df.schema["x"].dataType)
+    x, last = F.col("x").cast("long"), F.coalesce(F.lag("x").over(ordered()), F.lit(0)).cast("long")
+    return df.withColumn("x", wrapping_difference(x, last) if kind.width == 8 else wrap(x - last, 8 * kind.width).cast(kind.spark))
 
 
-def delta_decode(df: DataFrame) -> DataFrame:
-    return df.withColumn("x", F.sum("x").over(up_to_here()))
+def delta_decode(df: DataFrame, kind: str | None = None) -> DataFrame:
+    d = of_spark(df.schema["x"].dataType)
+    total = wrapping_sum(F.col("x").cast("long"), lambda c: F.sum(c).over(up_to_here()))
+    return _values(df.withColumn("x", total if d.width == 8 else wrap(total, 8 * d.width).cast(d.spark)), kind)
 
 
 def scale_encode(df: DataFrame) -> DataFrame:
-    """x less the part's smallest value, which is kept as low."""
-    return df.withColumn("low", F.min("x").over(whole())).withColumn("x", F.col("x") - F.col("low"))
+    """x less the part's smallest value, which is kept as low; where the type can't hold the range, low is 0."""
+    df = _integers(df)
+    kind = of_spark(df.schema["x"].dataType)
+    least, most = F.min("x").over(whole()).cast("long"), F.max("x").over(whole()).cast("long")
+    room = F.lit((1 << (8 * kind.width - 1)) - 1).cast("long")
+    low = F.when((least < 0) & (most >= 0) & (F.when(most >= 0, room - most + least) < 0), F.lit(0)).otherwise(least)
+    return df.withColumn("low", low.cast(kind.spark)).withColumn("x", (F.col("x") - F.col("low")).cast(kind.spark))
 
 
-def scale_decode(df: DataFrame) -> DataFrame:
-    return df.withColumn("x", F.col("x") + F.col("low")).drop("low")
+def scale_decode(df: DataFrame, kind: str | None = None) -> DataFrame:
+    return _values(df.withColumn("x", F.col("x") + F.col("low")).drop("low"), kind)
 
 
 def rle_encode(df: DataFrame) -> DataFrame:
     """part, run (from 0), start (row_idx), length, x."""
     first = F.coalesce((F.col("x") != F.lag("x").over(ordered())).cast("int"), F.lit(0))
-    runs = df.withColumn("first", first).withColumn("run", F.sum("first").over(up_to_here()))
+    runs = whole_series(df).withColumn("first", first).withColumn("run", F.sum("first").over(up_to_here()))
     return runs.groupBy("part", "run").agg(F.min("row_idx").alias("start"), F.count("*").alias("length"), F.min("x").alias("x"))
 
 
@@ -96,7 +135,7 @@ def dict_encode(df: DataFrame, k: int = 4) -> DataFrame:
     """code of x among the part's top values (in their order), or other = x."""
     code = F.row_number().over(Window.partitionBy("part").orderBy("x")) - 1
     top = top_values(df, k).select(F.col("part").alias("p"), F.col("x").alias("v"), code.alias("code"))
-    joined = df.join(top, (F.col("part") == F.col("p")) & (F.col("x") == F.col("v")), "left")
+    joined = whole_series(df).join(top, (F.col("part") == F.col("p")) & (F.col("x") == F.col("v")), "left")
     return joined.select("part", "row_idx", "code", F.when(F.col("code").isNull(), F.col("x")).alias("other"))
 
 
@@ -109,7 +148,7 @@ def dict_decode(codes: DataFrame, top: DataFrame) -> DataFrame:
 
 def unique_encode(df: DataFrame) -> DataFrame:
     """code: the place of x among the part's distinct values. One window, no join."""
-    return df.withColumn("code", F.dense_rank().over(Window.partitionBy("part").orderBy("x")) - 1).drop("x")
+    return whole_series(df).withColumn("code", F.dense_rank().over(Window.partitionBy("part").orderBy("x")) - 1).drop("x")
 
 
 def unique_values(df: DataFrame) -> DataFrame:
@@ -125,7 +164,7 @@ def unique_decode(codes: DataFrame, values: DataFrame) -> DataFrame:
 def const_encode(df: DataFrame) -> DataFrame:
     """constant: the part's most frequent value; other: x where it differs, else null."""
     top = top_values(df, 1).select(F.col("part").alias("p"), F.col("x").alias("constant"))
-    joined = df.join(top, F.col("part") == F.col("p"))
+    joined = whole_series(df).join(top, F.col("part") == F.col("p"))
     return joined.select("part", "row_idx", "constant", F.when(F.col("x") != F.col("constant"), F.col("x")).alias("other"))
 
 
@@ -138,7 +177,7 @@ def patch_encode(df: DataFrame, kind: str = "lower", share: float = 0.1) -> Data
     low, high = F.min("x").over(whole()), F.max("x").over(whole())
     dist = (high - low) * F.lit(share)
     holds = F.col("x") < high - dist if kind == "lower" else (F.col("x") >= low + dist) & (F.col("x") <= high - dist)
-    return df.withColumn("stencil", holds.cast("int"))
+    return whole_series(df).withColumn("stencil", holds.cast("int"))
 
 
 def float_to_int(df: DataFrame, digits: int) -> DataFrame:
@@ -157,6 +196,11 @@ def split(df: DataFrame) -> DataFrame:
     return df.withColumn("place", F.row_number().over(Window.partitionBy("part", "stencil").orderBy("row_idx")) - 1)
 
 
+def split2(df: DataFrame) -> DataFrame:
+    """The same partition by one stable sort: place, the position with all zeros first and the ones behind them."""
+    return df.withColumn("place", F.row_number().over(Window.partitionBy("part").orderBy("stencil", "row_idx")) - 1)
+
+
 def merge(stencils: DataFrame, sides: DataFrame) -> DataFrame:
     """The inverse: stencils (part, row_idx, stencil) filled from sides (part, stencil, place, x) in order."""
     return split(stencils.select("part", "row_idx", "stencil")).join(sides, ["part", "stencil", "place"]).select("part", "row_idx", "x")
@@ -192,6 +236,20 @@ def sort_values(df: DataFrame, ascending: bool = True) -> DataFrame:
     return df.withColumn("place", F.row_number().over(Window.partitionBy("part").orderBy(x, "row_idx")) - 1)
 
 
+def search(df: DataFrame, probes: DataFrame, upper: bool = False) -> DataFrame:
+    """probes (part, v) with place: of the first value of the part's sorted values that is not below v (upper: that is
+    above v). Values and probes are sorted together, in one window."""
+    values = df.select("part", F.col("x").alias("v"), F.lit(0 if upper else 1).alias("_last"), F.lit(1).alias("_value"))
+    both = values.union(probes.select("part", "v", F.lit(1 if upper else 0).alias("_last"), F.lit(0).alias("_value")))
+    upto = Window.partitionBy("part").orderBy("v", "_last").rowsBetween(Window.unboundedPreceding, 0)
+    return both.withColumn("place", F.sum("_value").over(upto)).filter("_value = 0").select("part", "v", "place")
+
+
+def reduce(df: DataFrame, *names: str) -> DataFrame:
+    """part and the values brought together by associative operations (REDUCTIONS), first within tasks."""
+    return df.groupBy("part").agg(*(REDUCTIONS[n]("x").alias(n) for n in names))
+
+
 def sample_prefix(df: DataFrame, n: int) -> DataFrame:
     """The first n rows of each part."""
     return df.withColumn("at", F.row_number().over(ordered())).filter(F.col("at") <= n).drop("at")
@@ -204,7 +262,8 @@ def concatenate(*frames: DataFrame) -> DataFrame:
         moved = df.withColumn("row_idx", F.col("row_idx") + start)
         out = moved if out is None else out.unionByName(moved)
         if i + 1 < len(frames):
-            start = F.lit((df.agg(F.max("row_idx")).first()[0] or -1) + 1) + start
+            last = df.agg(F.max("row_idx")).first()[0]
+            start = F.lit(0 if last is None else last + 1).cast("long") + start
     return out
 
 

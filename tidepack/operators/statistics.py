@@ -5,12 +5,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.dtypes import of_spark
 from ..functions.transforms import bit_length
 from .relational import lookahead, ordered, whole
 
 
 def data_statistics(df: DataFrame, width: int, window: int = 2) -> DataFrame:
-    """part, size, low, high, min_bits, mean, sorted, runs. One sort by part serves all windows."""
+    """part, size, low, high, min_bits, mean, sorted, runs, and for floating point values digits, the most decimals that
+    one needs. One sort by part serves all windows."""
+    digits = [F.max(precision(F.col("x"))).alias("digits")] if of_spark(df.schema["x"].dataType).is_float else []
     rows = lookahead(df, window).withColumns({"falls": (F.col("x") > F.lead("x").over(ordered())).cast("int"), "at": F.row_number().over(ordered()), "n": F.count("*").over(whole())})
     runs = F.avg(F.when(F.col("at") <= F.col("n") - window, F.col("same")))
     out = rows.groupBy("part").agg(
@@ -20,6 +23,7 @@ def data_statistics(df: DataFrame, width: int, window: int = 2) -> DataFrame:
         F.avg("x").alias("mean"),
         (F.coalesce(F.max("falls"), F.lit(0)) == 0).alias("sorted"),
         F.coalesce(runs, F.lit(1.0)).alias("runs"),
+        *digits,
     )
     return out.withColumn("min_bits", bit_length(F.col("low"), F.col("high"), width))
 
@@ -41,7 +45,8 @@ def sparse_histogram(df: DataFrame) -> DataFrame:
 def integer_histogram(df: DataFrame) -> DataFrame:
     """x, n for every integer from the smallest to the largest."""
     bounds = df.agg(F.min("x").cast("long").alias("a"), F.max("x").cast("long").alias("b")).filter("a is not null")
-    every = bounds.select(F.explode(F.sequence("a", "b")).alias("x"))
+    low, high = next(((r.a, r.b) for r in bounds.collect()), (0, -1))
+    every = df.sparkSession.range(low, high + 1).select(F.col("id").alias("x"))
     return every.join(sparse_histogram(df).select(F.col("x").cast("long").alias("x"), "n"), "x", "left").select("x", F.coalesce("n", F.lit(0)).cast("long").alias("n"))
 
 

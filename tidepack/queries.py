@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Callable
 
 import pyarrow as pa
@@ -9,14 +11,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import transforms as X
-from .functions.dtypes import DTYPES
+from .functions.dtypes import DTYPES, of_spark
 from .operators import relational as R
 from .operators import statistics as S
 from .operators.codecs import CODECS
-from .operators.segments import column_types, compress_table, decompress_table
+from .operators.segments import column_types, compress_table, decompress_table, read_segments, write_segments
 from .plans.search import best_static, independent
 from .plans.tree import Plan
 from .sources import generators as G
+from .sources.files import read_binary, read_csv, write_binary, write_csv
+from .sources.header import parse_header, read_header, write_header
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -62,9 +66,40 @@ def delta_decode(spark, sf_dir):
     return R.delta_decode(R.delta_encode(users(spark, sf_dir)))
 
 
-@query(U + "select part, row_idx, x from e")
+@query(V + "select part, row_idx, x from e")
 def delta_roundtrip(spark, sf_dir):
-    return R.delta_decode(R.delta_encode(users(spark, sf_dir)))
+    """Of the bits of doubles."""
+    return R.delta_decode(R.delta_encode(users(spark, sf_dir, "value")), "double")
+
+
+def wide(spark, sf_dir) -> DataFrame:
+    """Values whose differences need more than 64 bits."""
+    x = F.when(F.col("user_id") % 2 == 0, F.lit(9 * 10**18)).otherwise(F.lit(-9 * 10**18)) + F.col("event_id")
+    return R.series(events(spark, sf_dir), "event_id", x, BATCH)
+
+
+WIDE = E.format("case when user_id % 2 = 0 then 9000000000000000000 else -9000000000000000000 end + event_id")
+
+
+@query(WIDE + f", d as (select part, row_idx, x::hugeint - coalesce(lag(x) over {W}, 0)::hugeint as h from e) select part, row_idx, cast(case when h > 9223372036854775807 then h - 18446744073709551616 when h < -9223372036854775808 then h + 18446744073709551616 else h end as bigint) as x from d")
+def delta_wraps(spark, sf_dir):
+    return R.delta_encode(wide(spark, sf_dir))
+
+
+@query(WIDE + "select part, row_idx, x from e")
+def delta_wraps_decode(spark, sf_dir):
+    return R.delta_decode(R.delta_encode(wide(spark, sf_dir)))
+
+
+@query(WIDE + ", b as (select *, min(x) over (partition by part) as lo, max(x) over (partition by part) as hi from e), c as (select *, case when lo < 0 and 9223372036854775807::hugeint - hi < -(lo::hugeint) then 0 else lo end as low from b) select part, row_idx, x - low as x, low from c")
+def scale_wide(spark, sf_dir):
+    return R.scale_encode(wide(spark, sf_dir))
+
+
+@query(V + "select part, row_idx, x from e")
+def scale_roundtrip(spark, sf_dir):
+    """Of the bits of doubles."""
+    return R.scale_decode(R.scale_encode(users(spark, sf_dir, "value")), "double")
 
 
 @query(U + "select part, row_idx, x - min(x) over (partition by part) as x, min(x) over (partition by part) as low from e")
@@ -157,10 +192,12 @@ def int_to_float(spark, sf_dir):
 
 
 def stencils(spark, sf_dir):
-    return users(spark, sf_dir).withColumn("stencil", X.stencil(F.col("x"), "lower", 50))
+    return users(spark, sf_dir).withColumn("stencil", X.stencil(F.col("x"), "lower", SIDE))
 
 
-ST = U + ", s as (select *, cast(x < 50 as int) as stencil from e) "
+#: Both sides of it occur in tables of every size.
+SIDE = 8
+ST = U + f", s as (select *, cast(x < {SIDE} as int) as stencil from e) "
 
 
 @query(U + "select part, row_idx, x, cast(x = 50 as int) as equal, cast(x <> 50 as int) as not_equal, cast(x < 50 as int) as lower, cast(x > 50 as int) as greater, cast(x between 20 and 80 as int) as between_, cast(x < 20 or x > 80 as int) as not_between from e")
@@ -185,6 +222,11 @@ def split(spark, sf_dir):
     return R.split(stencils(spark, sf_dir))
 
 
+@query(ST + "select *, row_number() over (partition by part order by stencil, row_idx) - 1 as place from s")
+def split2(spark, sf_dir):
+    return R.split2(stencils(spark, sf_dir))
+
+
 @query(U + "select part, row_idx, x from e")
 def merge(spark, sf_dir):
     df = stencils(spark, sf_dir)
@@ -234,6 +276,34 @@ def stable_sort(spark, sf_dir):
     return R.sort_values(users(spark, sf_dir))
 
 
+PROBES = U + ", p as (select distinct part, x - x % 10 as v from e) "
+
+
+def _probes(spark, sf_dir, upper: bool) -> DataFrame:
+    df = users(spark, sf_dir)
+    return R.search(df, df.select("part", (F.col("x") - F.col("x") % 10).alias("v")).distinct(), upper)
+
+
+@query(PROBES + "select p.part, v, count(*) filter (x < v) as place from p join e on p.part = e.part group by p.part, v")
+def lower_bound(spark, sf_dir):
+    return _probes(spark, sf_dir, False)
+
+
+@query(PROBES + "select p.part, v, count(*) filter (x <= v) as place from p join e on p.part = e.part group by p.part, v")
+def upper_bound(spark, sf_dir):
+    return _probes(spark, sf_dir, True)
+
+
+@query(U + "select part, cast(sum(x) as bigint) as sum, min(x) as min, max(x) as max, bit_and(x) as bit_and, bit_or(x) as bit_or, bit_xor(x) as bit_xor from e group by part")
+def reduce(spark, sf_dir):
+    return R.reduce(users(spark, sf_dir), "sum", "min", "max", "bit_and", "bit_or", "bit_xor")
+
+
+@query("select event_id, cast(trunc((event_id - 500) / 7) as bigint) as quotient from events")
+def whole_division(spark, sf_dir):
+    return events(spark, sf_dir).select("event_id", X.divide_whole(F.col("event_id") - 500, 7).alias("quotient"))
+
+
 @query(U + "select part, row_idx, x from (select *, row_number() over (partition by part order by row_idx) as r from e) where r <= 100")
 def prefix_sample(spark, sf_dir):
     return R.sample_prefix(users(spark, sf_dir), 100)
@@ -314,9 +384,28 @@ def get_bucket(spark, sf_dir):
     return events(spark, sf_dir).select("event_id", S.bucket_of(F.col("value"), 0, F.lit(500.0), 10).alias("bucket"))
 
 
-@query("select event_id, case when round_even(value, 0) = value then 0 when round_even(value * 10, 0) / 10 = value then 1 when round_even(value * 100, 0) / 100 = value then 2 else 3 end as digits from events")
+DIGITS = "case " + " ".join(f"when round_even(x * 1e{p}, 0) / 1e{p} = x then {p}" for p in range(10)) + " else 10 end"
+#: Doubles of few and of many digits.
+MANY = "case when user_id % 3 = 0 then value / 7 when user_id % 3 = 1 then value / 32 else value end"
+
+
+def many_digits(spark, sf_dir) -> DataFrame:
+    value, u = F.col("value"), F.col("user_id")
+    return R.series(events(spark, sf_dir), "event_id", F.when(u % 3 == 0, value / 7).when(u % 3 == 1, value / 32).otherwise(value), BATCH)
+
+
+@query(E.format(MANY) + f"select row_idx, {DIGITS} as digits from e")
 def decimal_precision(spark, sf_dir):
-    return events(spark, sf_dir).select("event_id", F.least(S.precision(F.col("value")), F.lit(3)).alias("digits"))
+    return many_digits(spark, sf_dir).select("row_idx", S.precision(F.col("x")).alias("digits"))
+
+
+@query(
+    E.format(MANY) + f", l as (select *, lead(x) over {W} as nx, row_number() over {W} as rn, count(*) over (partition by part) as n from e) "
+    f"select part, count(*) as size, min(x) as low, max(x) as high, avg(x) as mean, count(*) filter (x > nx) = 0 as sorted, max({DIGITS}) as digits, "
+    "coalesce(avg(case when rn <= n - 2 then 1 + cast(x = nx as int) end), 1.0) as runs, case when min(x) < 0 then 64 else length(bin(cast(trunc(max(x)) as bigint))) end as min_bits from l group by part"
+)
+def data_statistics_double(spark, sf_dir):
+    return S.data_statistics(many_digits(spark, sf_dir), 8)
 
 
 SIZES = (
@@ -374,7 +463,7 @@ for _name in CODECS:
     QUERIES[f"codec_{_name.lower()}"] = _codec_query(_name)
     ORACLES[f"codec_{_name.lower()}"] = TYPED
 #: The hand-built trees to be tested.
-for _i, _plan in enumerate(("dict(scale(delta), delta)", "patch(dict(delta, scale), delta)", "scale(delta(patch(afl, none)))", "scale(delta(unique))", "patch(const, floatToInt(rle(const, scale(afl))))", "delta(floatToInt(afl))", "scale(delta(gfc))", "delta(patch(delta(afl), delta(afl)))", "delta(rle(afl, afl))")):
+for _i, _plan in enumerate(("dict(scale(delta), delta)", "patch(dict(delta, scale), delta)", "scale(delta(patch(afl, none)))", "scale(delta(unique))", "patch(const, floatToInt(rle(const, scale(afl))))", "delta(floatToInt(afl))", "scale(delta(gfc))", "delta(patch(delta(afl), delta(afl)))", "delta(rle(afl, afl))", "dict(scale(delta(gfc)), delta(floatToInt(afl)))", "patch(delta(scale(afl)), delta(scale(afl)))", "patchBetween(afl, delta(afl))")):
     QUERIES[f"tree_{_i + 1}"] = _codec_query(_plan)
     ORACLES[f"tree_{_i + 1}"] = TYPED
 
@@ -429,6 +518,95 @@ def plan_search(spark, sf_dir):
     return _planned(users(spark, sf_dir), _searched, "time")
 
 
+#: Leaves below an encoding, each with a node of 16 bytes.
+LEAVES = {"delta": 1, "scale": 1, "rle": 2, "const": 1, "dict": 2, "unique": 1, "patch": 2, "afl": 1}
+OUTPUTS = "case encoding " + " ".join(f"when '{k}' then {n}" for k, n in LEAVES.items()) + " end"
+
+
+@query(SIZES + f"select part, encoding, cast(meta + size + 8 + 16 * {OUTPUTS} as bigint) as bytes from z where encoding <> 'none'")
+def encoded_sizes(spark, sf_dir):
+    """What each encoding really writes, beside its prediction."""
+    df, out = users(spark, sf_dir).select("row_idx", "x"), None
+    for name in LEAVES:
+        got = compress_table(df, "row_idx", BATCH, plan=Plan.parse(name)).select("part", F.lit(name).alias("encoding"), F.col("enc_bytes").alias("bytes"))
+        out = got if out is None else out.union(got)
+    return out
+
+
+@query(SIZES + ", b as (select part, n, min(meta + size + case when encoding = 'none' then 8 else 24 end) as best from z join s using (part) group by part, n) select part, cast(8 * n as bigint) as raw, true as not_above_single from b")
+def plan_search_bounds(spark, sf_dir):
+    """The search finds no more bytes than the best encoding alone takes."""
+    found = _planned(users(spark, sf_dir), _searched, "time")
+    single = S.best_single(S.predicted_sizes(users(spark, sf_dir), 8).filter(F.col("encoding").isin("none", "delta", "scale", "afl", "unique", "const"))).select("part", F.col("total").alias("single"))
+    return found.join(single, "part").select("part", "raw", (F.col("size") <= F.col("single")).alias("not_above_single"))
+
+
+@query(U + "select part, cast(8 * count(*) as bigint) as raw, true as not_above_raw from e group by part")
+def static_plan_bounds(spark, sf_dir):
+    found = _planned(users(spark, sf_dir), best_static, "time")
+    return found.select("part", "raw", (F.col("size") <= F.col("raw") + 8).alias("not_above_raw"))
+
+
+@query("select c as column, cast(floor(event_id / 1000) as int) as part, count(*) as n_rows, cast(count(*) * w as bigint) as raw_bytes, true as smaller from events, (values ('i', 4), ('c', 1), ('s', 2), ('t', 8), ('f', 4), ('d', 8)) as v(c, w) group by c, w, cast(floor(event_id / 1000) as int)")
+def segment_facts(spark, sf_dir):
+    """Segments of the adaptive mode; none is larger than its values and a node."""
+    segments = compress_table(typed(spark, sf_dir), "event_id", BATCH, "adaptive")
+    return segments.select("column", "part", "n_rows", "raw_bytes", (F.col("enc_bytes") <= F.col("raw_bytes") + 8).alias("smaller"))
+
+
+# --- files -----------------------------------------------------------------------------------------------------
+
+
+def _folder(spark: SparkSession) -> str:
+    """A folder for a query's files: in the shared one, or a local one where there is none and no cluster."""
+    shared = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not shared and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    return f"{shared}/tidepack-files-{uuid.uuid4().hex}" if shared else tempfile.mkdtemp(prefix="tidepack-files-")
+
+
+#: A header file of the columns that file queries write.
+FILE_HEADER = "user,int,0\ntime,time,0\nvalue,double,2\n"
+FILED = "select event_id as row_idx, cast(user_id as int) as user, event_id as time, value from events"
+
+
+def filed(spark, sf_dir) -> DataFrame:
+    c = F.col
+    return events(spark, sf_dir).select(c("event_id").alias("row_idx"), c("user_id").cast("int").alias("user"), c("event_id").alias("time"), "value")
+
+
+@query(FILED)
+def binary_file(spark, sf_dir):
+    """Written twice; the second replaces the first."""
+    at = f"{_folder(spark)}/binary"
+    write_binary(filed(spark, sf_dir).limit(3), at, FILE_HEADER, 4)
+    write_binary(filed(spark, sf_dir), at, FILE_HEADER, 4)
+    return read_binary(spark, at, FILE_HEADER, 4)
+
+
+@query("select event_id as row_idx, cast(user_id as int) as user, event_id as time, cast(cast(value as decimal(38, 2)) as double) as value from events")
+def csv_file(spark, sf_dir):
+    at, schema = f"{_folder(spark)}/csv", parse_header(FILE_HEADER)
+    write_csv(filed(spark, sf_dir), at, schema)
+    return read_csv(spark, at, schema)
+
+
+@query(FILED)
+def segment_files(spark, sf_dir):
+    at, df = f"{_folder(spark)}/segments", filed(spark, sf_dir)
+    write_segments(compress_table(df, "row_idx", BATCH), at)
+    return decompress_table(read_segments(spark, at), column_types(df, "row_idx"), batch=BATCH)
+
+
+@query("select * from (values ('user', 'int', 0), ('time', 'time', 0), ('value', 'double', 2)) as v(name, type, decimals)")
+def header_file(spark, sf_dir):
+    at = f"{_folder(spark)}/header"
+    write_header(spark, parse_header(FILE_HEADER), at)
+    schema = read_header(spark, at)
+    rows = [(f.name, of_spark(f.dataType).name, f.metadata.get("decimals", 0)) for f in schema]
+    return spark.createDataFrame(rows, "name string, type string, decimals int")
+
+
 # --- generators ------------------------------------------------------------------------------------------------
 
 
@@ -447,3 +625,26 @@ def generate_table(spark, sf_dir):
     return G.generate(spark, 20_000)
 
 
+@query("select 20000 as n, true as dense, true as times_step, true as ints_inside, true as floats_inside, true as digits_few, true as stencil_even, true as zigzag_inside, true as outliers_few, true as reruns_agree")
+def generator_facts(spark, sf_dir):
+    """What holds of each kind of random series, by aggregates over all rows."""
+    n, c = 20_000, F.col
+    df = G.outliers(G.time_steps(G.rows(spark, n), 10, 0.5, batch=3000, name="t"), 0.1, 1, 0, 100_000, batch=5000, name="o")
+    more = [G.random_ints(10, 100).alias("i"), G.random_floats().alias("f"), G.floats_of_precision(3).alias("p"), G.random_stencil().alias("s"), G.zigzag(100, -50, 50).alias("z")]
+    df = df.select("row_idx", "t", "o", *more, F.floor(c("row_idx") / BATCH).alias("part"))
+    steps = df.withColumn("step", c("t") - F.lag("t").over(R.ordered())).withColumn("again", G.random_ints(10, 100))
+    every = lambda x: F.min(F.coalesce(x, F.lit(True)))
+    return steps.agg(
+        F.count("*").cast("int").alias("n"),
+        ((F.min("row_idx") == 0) & (F.max("row_idx") == n - 1) & (F.count_distinct("row_idx") == n)).alias("dense"),
+        every(c("step").between(0, 2)).alias("times_step"),
+        (every(c("i").between(10, 99)) & (F.count_distinct("i") == 90)).alias("ints_inside"),
+        every((c("f") > 0) & (c("f") <= 1)).alias("floats_inside"),
+        every(F.abs(F.round(c("p").cast("double"), 3) - c("p")) < 1e-6).alias("digits_few"),
+        (every(c("s").isin(0, 1)) & F.avg("s").between(0.45, 0.55)).alias("stencil_even"),
+        every(c("z").between(-50, 50)).alias("zigzag_inside"),
+        F.avg((c("o") >= 99_990).cast("int")).between(0.08, 0.12).alias("outliers_few"),
+        every(c("again") == c("i")).alias("reruns_agree"),
+    )
+
+

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import glob
 import os
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -11,15 +12,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
+from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
 
 from ..functions.dtypes import of_spark
+from ..shipping import ship
 from .header import parse_header
 
 
 def with_row_index(df: DataFrame, order: list[str], index: str = "row_idx") -> DataFrame:
     """A dense index in the given order, without a window over all rows: rows are range-partitioned by the order,
-    counted by partition, and numbered within it. The counts are one row per partition."""
+    counted by partition, and numbered within it. The counts are one row per partition. The sorted rows stay persisted, for
+    the caller to read once or often: df.sparkSession.catalog.clearCache() lets go of them."""
     ranged = df.repartitionByRange(*order).withColumn("_p", F.spark_partition_id())
     ranged = ranged.sortWithinPartitions(*order).persist()
     counts = ranged.groupBy("_p").agg(F.count("*").alias("_n"))
@@ -65,7 +68,9 @@ class _Reader(DataSourceReader):
     def partitions(self):
         out, start = [], 0
         for path in self.paths:
-            n = os.path.getsize(path) // self.record.itemsize
+            n, rest = divmod(os.path.getsize(path), self.record.itemsize)
+            if rest:
+                raise ValueError(f"{path} ends within a record of {self.record.itemsize} bytes")
             per = max(1, self.split // self.record.itemsize)
             out += [_Range(path, k, min(per, n - k), start + k) for k in range(0, n, per)]
             start += n
@@ -80,25 +85,45 @@ class _Reader(DataSourceReader):
             yield pa.RecordBatch.from_arrays([pa.array(np.arange(n) + part.start + at), *(pa.array(np.ascontiguousarray(rows[c])) for c in names)], names=[self.schema[0].name, *names])
 
 
-class _Writer(DataSourceWriter):
-    def __init__(self, path: str, names: list[str], record: np.dtype):
-        self.path, self.names, self.record = path, names, record
+class _Message(WriterCommitMessage):
+    def __init__(self, name: str):
+        self.name = name
 
-    def write(self, rows) -> WriterCommitMessage:
+
+class _Writer(DataSourceArrowWriter):
+    """Files of a run have its name behind their partition's, and `.part` until the run is committed; then those of
+    earlier runs go if it overwrites."""
+
+    def __init__(self, path: str, names: list[str], record: np.dtype, overwrite: bool):
+        self.path, self.names, self.record, self.overwrite, self.run = path, names, record, overwrite, uuid.uuid4().hex[:12]
+
+    def write(self, batches: Iterator[pa.RecordBatch]) -> WriterCommitMessage:
         from pyspark import TaskContext
 
+        task = TaskContext.get()
         os.makedirs(self.path, exist_ok=True)
-        out = os.path.join(self.path, f"part-{TaskContext.get().partitionId():06d}.bin")
-        with open(f"{out}.tmp", "wb") as f:
-            block = []
-            for row in rows:
-                block.append(tuple(row[n] for n in self.names) + ((b"",) if "padding" in self.record.names else ()))
-                if len(block) == 1 << 14:
-                    f.write(np.array(block, self.record).tobytes())
-                    block = []
-            f.write(np.array(block, self.record).tobytes())
-        os.replace(f"{out}.tmp", out)  # a task that is run again leaves one whole file
-        return WriterCommitMessage()
+        name = f"part-{task.partitionId():06d}-{self.run}-{task.taskAttemptId()}.bin"
+        with open(os.path.join(self.path, f"{name}.part"), "wb") as f:
+            for batch in batches:
+                block = np.zeros(batch.num_rows, self.record)
+                for n in self.names:
+                    column = batch.column(batch.schema.get_field_index(n))
+                    if column.null_count:
+                        raise ValueError(f"column {n} holds nulls; a series has none")
+                    block[n] = column.to_numpy(zero_copy_only=False)
+                f.write(block.tobytes())
+        return _Message(name)
+
+    def commit(self, messages: list[WriterCommitMessage]) -> None:
+        old = glob.glob(os.path.join(self.path, "*.bin"))
+        for m in messages:
+            os.replace(os.path.join(self.path, f"{m.name}.part"), os.path.join(self.path, m.name))
+        for path in [*(old if self.overwrite else ()), *glob.glob(os.path.join(self.path, f"*-{self.run}-*.part"))]:
+            os.remove(path)
+
+    def abort(self, messages: list[WriterCommitMessage]) -> None:
+        for path in glob.glob(os.path.join(self.path, f"*-{self.run}-*.part")):
+            os.remove(path)
 
 
 class FixedWidth(DataSource):
@@ -125,16 +150,18 @@ class FixedWidth(DataSource):
         return _Reader(self.schema(), paths, self._record(), int(self.options.get("split", 64 << 20)))
 
     def writer(self, schema: T.StructType, overwrite: bool) -> DataSourceWriter:
-        return _Writer(self.options["path"].removeprefix("file://"), [f.name for f in self._columns()], self._record())
+        return _Writer(self.options["path"].removeprefix("file://"), [f.name for f in self._columns()], self._record(), overwrite)
 
 
 def read_binary(spark: SparkSession, path: str, header: str, padding: int = 0, split: int = 64 << 20) -> DataFrame:
+    ship(spark)
     spark.dataSource.register(FixedWidth)
     return spark.read.format("fixedwidth").options(header=header, padding=padding, split=split).load(path)
 
 
 def write_binary(df: DataFrame, path: str, header: str, padding: int = 0, index: str = "row_idx") -> None:
-    """One file per partition of a range-partitioned table, so names keep the order of the index."""
+    """One file per partition of a range-partitioned table, so names keep the order of the index. Replaces what is there."""
+    ship(df.sparkSession)
     df.sparkSession.dataSource.register(FixedWidth)
     ordered = df.repartitionByRange(index).sortWithinPartitions(index)
-    ordered.write.format("fixedwidth").options(header=header, padding=padding).mode("append").save(path)
+    ordered.write.format("fixedwidth").options(header=header, padding=padding).mode("overwrite").save(path)
