@@ -181,16 +181,16 @@ def scan(docs: DataFrame) -> DataFrame:
 def bootstrap(found: DataFrame, settings: Bootstrap = Bootstrap()) -> DataFrame:
     """found: one row per occurrence. The accepted patterns: pattern, kind, score, support."""
     rows = found.select("kind", "seed", "instance", F.explode("patterns").alias("pattern"))
-    graph = materialize(rows.groupBy("pattern", "kind", "instance").agg(F.max("seed").alias("seed")), "graph")
+    graph = rows.groupBy("pattern", "kind", "instance").agg(F.max("seed").alias("seed"))
     enough = graph.groupBy("pattern", "kind").agg(F.count("*").alias("n")).filter(F.col("n") >= settings.support)
-    graph = materialize(graph.join(enough.drop("n"), ["pattern", "kind"], "left_semi"), "graph")
+    graph = graph.join(enough.drop("n"), ["pattern", "kind"], "left_semi")
     seeds = graph.groupBy("instance", "kind").agg(F.max("seed").alias("sure"))
     graph = materialize(graph.drop("seed").join(seeds, ["instance", "kind"]).select("*", F.col("sure").cast("double").alias("score")), "graph")
     scored = graph
     for k in range(settings.rounds):
         patterns = scored.groupBy("pattern", "kind").agg((F.sum("score") / (F.count("*") + settings.smooth)).alias("score"), F.count("*").alias("support"))
-        patterns = materialize(patterns, "patterns")
         if k + 1 < settings.rounds:
+            patterns = materialize(patterns, "patterns")
             # what an accepted pattern says of an instance doesn't count for the pattern itself
             vote = F.when(F.col("score") >= settings.accept, F.log(F.greatest(F.lit(1e-9), 1 - F.col("score")))).otherwise(0.0)
             edges = graph.drop("score").join(patterns.select("pattern", "kind", vote.alias("vote")), ["pattern", "kind"])
@@ -352,10 +352,11 @@ def discovered(docs: DataFrame, scans: DataFrame, settings: Bootstrap = Bootstra
         counts = [fills(docs, [p for (p,) in chunk]) for chunk in _chunks(new, "pattern")]
         if counts:
             counted = materialize(_all([counted, *counts]), "counted")
+        # instances that speak for new patterns; what they fill does not count against one
+        trusted = materialize(within().filter("not seed").select(*one).union(trusted).distinct(), "trusted")
         known = placed().join(trusted.withColumn("sure", F.lit(True)), one, "left").filter("seed or sure")
         known = known.groupBy(*both).agg(F.count("*").alias("known")).join(counted, "pattern").filter(F.col("known") >= settings.precise * F.col("fills"))
         precise = materialize(good.join(known, both, "left_semi").select(*both).union(precise).distinct(), "precise")
-        trusted = materialize(within().filter("not seed").select(*one).union(trusted).distinct(), "trusted")
         sizes = precise.count(), trusted.count()  # neither ever loses a row
         if sizes == searched:
             break
@@ -363,8 +364,6 @@ def discovered(docs: DataFrame, scans: DataFrame, settings: Bootstrap = Bootstra
         parts = [slots(docs, chunk, []) for chunk in _chunks(precise, *both)] + [slots(docs, [], chunk) for chunk in _chunks(trusted, *one)]
         every = materialize(_all([found, *parts]).dropDuplicates(["doc_id", "key", "start", "stop", "kind"]), "found")
         good = materialize(bootstrap(every, settings).select(*both), "patterns")
-        # new instances may now fill slots that were counted against a pattern
-        trusted = materialize(within().filter("not seed").select(*one).union(trusted).distinct(), "trusted")
     number = F.array_position(F.array(*map(F.lit, ALL_KINDS)), F.col("kind")).cast("int") - 1
     span = F.struct("start", number.alias("kind"), "stop")
     return within().groupBy("doc_id", "key").agg(F.collect_set(span).alias("more"))
