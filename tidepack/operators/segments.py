@@ -2,7 +2,8 @@
 
 Rows need a dense row index. Each part is gathered once (one shuffle by part) and all its columns are encoded in
 that task. In the independent mode every part is planned alone. In the adaptive mode a column's plan is carried
-from part to part: raw parts are dealt by column, sorted by part, and streamed through one task per column.
+from part to part: raw parts are dealt by column and lane, sorted by part, and streamed through. A lane is so many
+consecutive parts; a new one begins without a history, so a long column is many streams.
 """
 
 from __future__ import annotations
@@ -59,8 +60,9 @@ def _batch(rows: list[tuple], schema: str) -> pa.Table:
     return pa.table([pa.array([r[i] for r in rows], kinds[k]) for i, (_, k) in enumerate(fields)], names=[n for n, _ in fields])
 
 
-def compress_table(df: DataFrame, index: str, batch: int = 1_000_000, mode: str = "independent", plan: Plan | None = None) -> DataFrame:
-    """Segments of all columns but the index. mode: independent or adaptive. plan: a fixed one for all instead."""
+def compress_table(df: DataFrame, index: str, batch: int = 1_000_000, mode: str = "independent", plan: Plan | None = None, lane: int = 256) -> DataFrame:
+    """Segments of all columns but the index. mode: independent or adaptive, by lanes of so many parts. plan: a fixed one
+    for all instead."""
     ship(df.sparkSession)
     types = column_types(df, index)
     plain = _plain(df, index, batch)
@@ -75,18 +77,19 @@ def compress_table(df: DataFrame, index: str, batch: int = 1_000_000, mode: str
             return _batch([(n, t.column("part")[0].as_py(), d.name, _values(t, n, d).tobytes()) for n, d in types.items()], _RAW)
 
         def stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            column, state = None, None
+            stretch, state = None, None
             for b in batches:
                 for name, part, kind, data in zip(*(c.to_pylist() for c in b.columns), strict=True):
                     d = DTYPES[kind]
-                    if name != column:
-                        column, state = name, Adaptive(d)
+                    if (name, part // lane) != stretch:
+                        stretch, state = (name, part // lane), Adaptive(d)
                     x = np.frombuffer(data, d.numpy)
                     payload, used = state.part(x)
                     yield from _batch([_segment(name, part, d, x, payload, used)], SEGMENTS).to_batches()
 
         parts = plain.groupBy("part").applyInArrow(raw, _RAW)
-        return parts.repartition("column").sortWithinPartitions("column", "part").mapInArrow(stream, SEGMENTS)
+        dealt = parts.repartition("column", F.floor(F.col("part") / lane)).sortWithinPartitions("column", "part")
+        return dealt.mapInArrow(stream, SEGMENTS)
 
     def encode(t: pa.Table) -> pa.Table:
         t, rows = sorted_part(t), []
