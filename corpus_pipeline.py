@@ -1,6 +1,8 @@
 """The corpus pipeline: each stage reads what the one before it kept, as Parquet.
 
-Stages take (spark, docs, sf_dir) and return a DataFrame; all but the last return the columns of documents.
+Stages take (spark, docs, sf_dir) and return a DataFrame; all but the last return the columns of documents. Null and empty
+texts are rejected by the first stage, and stages that meet them keep them. Extra columns of documents are left out.
+Empty tables give empty tables. Very long texts go through whole.
 """
 
 from __future__ import annotations
@@ -57,7 +59,8 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every piece of every document with its sequence and offset there."""
+    """Every piece of every document with its sequence and offset there: null and empty texts are one piece, the end id
+    alone; very long texts are cut; rows that repeat, as mixing makes them, are packed each."""
     return pack(docs)
 
 
@@ -74,6 +77,8 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last stage's rows for all documents in sf_dir. What each stage keeps is written to the shared folder and read
+    again, so a lost executor costs one stage's tasks at most."""
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
         docs = materialize(stage(spark, docs, sf_dir), name)
