@@ -251,3 +251,18 @@ def test_lanes_are_streams_of_their_own(spark):
         assert sorted(map(tuple, back.collect())) == sorted(map(tuple, df.collect()))
     first = {(r.column, r.part): bytes(r.payload) for r in many.filter("part % 4 = 0").collect()}
     assert first == {(r.column, r.part): bytes(r.payload) for r in one.filter("part % 4 = 0").collect()}
+
+
+@pytest.mark.parametrize("kind", ["float", "double"])
+def test_predicted_float_sizes_agree_with_codecs(spark, kind):
+    rng = np.random.default_rng(6)
+    d = DTYPES[kind]
+    parts = [rng.random(5000), rng.normal(size=3000) * 10.0 ** rng.integers(-20, 20, 3000), np.zeros(100), np.array([-1.5]), np.round(rng.random(2049), 2)]
+    parts = [p.astype(d.numpy) for p in parts]
+    rows = [(k, 10_000 * k + i, float(x)) for k, p in enumerate(parts) for i, x in enumerate(p)]
+    df = spark.createDataFrame(rows, f"part int, row_idx long, x {kind}")
+    got = S.predicted_float_sizes(df).collect()
+    assert len(got) == 2 * len(parts)
+    for r in got:
+        codec, x = CODECS[r.encoding], parts[r.part]
+        assert (r.meta, r["size"]) == (codec.meta_size(x, d), codec.out_size(x, d)), r

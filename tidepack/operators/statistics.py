@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import blobs
 from ..functions.dtypes import of_spark
-from ..functions.transforms import bit_length
+from ..functions.transforms import bit_length, wrap, wrapping_difference
 from .relational import lookahead, ordered, whole
 
 
@@ -104,6 +105,36 @@ def predicted_sizes(df: DataFrame, width: int, kind: str = "int") -> DataFrame:
     return s.select("part", F.explode(rows).alias("r")).select("part", "r.*")
 
 
+def predicted_float_sizes(df: DataFrame) -> DataFrame:
+    """part, encoding, meta, size of the encodings that look at the bits of floating point values: afl and gfc."""
+    kind = of_spark(df.schema["x"].dataType)
+    w, wide, chunk = kind.width, 32, 2048
+    bits = blobs.double_bits(F.col("x")) if kind.name == "double" else blobs.float_bits(F.col("x"))
+    rows = df.select("part", "row_idx", bits.cast("long").alias("b")).withColumn("place", F.row_number().over(ordered()) - 1)
+    at, first = F.col("place") % chunk, Window.partitionBy("part", F.floor(F.col("place") / chunk))
+    rows = rows.withColumn("source", F.max(F.when(at == wide - 1, F.col("b"))).over(first))
+    diff = wrapping_difference(F.col("b"), F.when(at < wide, F.lit(0)).otherwise(F.col("source")).cast("long"))
+    diff = diff if w == 8 else wrap(diff, 32)
+    lowest = -(1 << (8 * w - 1))
+    size = F.when(diff == lowest, F.lit(8 * w)).when(diff == 0, F.lit(0)).otherwise(F.length(F.bin(F.abs(F.when(diff == lowest, F.lit(0)).otherwise(diff)))))
+    used = F.ceil(size / 8)
+    used = F.when(used == 2, 3).otherwise(used) if w == 8 else used  # three bits tell no two bytes apart from three
+    field = blobs.bit_fields(F.col("b"))
+    out = rows.withColumns({"used": used, "f": field}).groupBy("part").agg(
+        F.count("*").alias("n"), F.sum("used").alias("used"), F.min("b").alias("low"), F.max("b").alias("high"),
+        F.min("f.sign").alias("s0"), F.max("f.sign").alias("s1"), F.max("f.exponent").alias("e"), F.max("f.mantissa").alias("m"),
+    )
+    n, length = F.col("n"), lambda c: F.length(F.bin(F.col(c)))
+    gfc = (F.lit(12), 4 * F.ceil(n / chunk) + F.ceil(n / 2) + F.col("used"))
+    if w == 4:
+        mask = F.when(F.col("s0") == F.col("s1"), 0).otherwise(F.ceil(n / 8) + 1)
+        afl = (mask + 9, 4 * F.ceil(n * length("e") / 32) + 4 * F.ceil(n * length("m") / 32))
+    else:
+        afl = (F.lit(4), F.ceil(bit_length(F.col("low"), F.col("high"), 8) * n / 64) * 8)
+    both = [F.struct(F.lit(e).alias("encoding"), m.cast("long").alias("meta"), s.cast("long").alias("size")) for e, (m, s) in (("afl", afl), ("gfc", gfc))]
+    return out.select("part", F.explode(F.array(*both)).alias("r")).select("part", "r.*")
+
+
 def best_single(sizes: DataFrame) -> DataFrame:
     """part, encoding, total: the smallest of predicted_sizes, with 8 bytes for the node and 16 for its leaf; ties
     by name."""

@@ -533,6 +533,20 @@ def encoded_sizes(spark, sf_dir):
     return out
 
 
+@query("select distinct cast(floor(event_id / 1000) as int) as part, k as kind, c as encoding, true as as_predicted from events, (values ('afl'), ('gfc')) as v(c), (values ('float'), ('double')) as w(k)")
+def float_sizes(spark, sf_dir):
+    """Predicted sizes of encodings of floating point values beside what they write."""
+    out = None
+    for kind in ("float", "double"):
+        df = users(spark, sf_dir, "value").withColumn("x", F.col("x").cast(kind))
+        for name, leaves in (("afl", 1), ("gfc", 2)):
+            wrote = compress_table(df.select("row_idx", "x"), "row_idx", BATCH, plan=Plan.parse(name)).select("part", "enc_bytes")
+            both = S.predicted_float_sizes(df).filter(F.col("encoding") == name).join(wrote, "part")
+            got = both.select("part", F.lit(kind).alias("kind"), "encoding", (F.col("meta") + F.col("size") + 8 + 16 * leaves == F.col("enc_bytes")).alias("as_predicted"))
+            out = got if out is None else out.union(got)
+    return out
+
+
 @query(SIZES + ", b as (select part, n, min(meta + size + case when encoding = 'none' then 8 else 24 end) as best from z join s using (part) group by part, n) select part, cast(8 * n as bigint) as raw, true as not_above_single from b")
 def plan_search_bounds(spark, sf_dir):
     """The search finds no more bytes than the best encoding alone takes."""
