@@ -110,6 +110,27 @@ def test_files_and_segments(spark, tmp_path):
     assert stored.agg(F.sum("raw_bytes") / F.sum("enc_bytes")).first()[0] > 1.5
 
 
+def test_csv_lines_are_numbered_in_file_order(spark, tmp_path):
+    """Many blocks, several files in a partition, empty lines and an empty file; no sort and no shuffle of lines."""
+    schema, want = parse_header("v,int,0\nw,time,0\n"), []
+    for k, n in enumerate((700, 1, 0, 40, 2500)):
+        rows = [(k * 10_000 + i * i % 977, i) for i in range(n)]
+        (tmp_path / f"part-{k}.csv").write_text("".join(f"{v},{w}\n" + "\n" * (w % 13 == 0) for v, w in rows))
+        want += [v for v, _ in rows]
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        for size in ("500", "3000", old):
+            spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+            lines = read_csv(spark, str(tmp_path), schema)
+            assert lines.columns == ["row_idx", "v", "w"]
+            assert sorted((r.row_idx, r.v) for r in lines.collect()) == list(enumerate(want))
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    with pytest.raises(Exception, match="MALFORMED|FAILED_READ"):
+        (tmp_path / "part-9.csv").write_text("no,1\n")
+        read_csv(spark, str(tmp_path), schema).collect()
+
+
 def test_row_index_is_dense(spark):
     df = spark.range(1000).withColumn("k", F.xxhash64("id")).repartition(7)
     got = with_row_index(df, ["k"]).orderBy("k").collect()

@@ -7,6 +7,7 @@ import uuid
 from collections.abc import Callable
 
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -634,11 +635,75 @@ def generate_staircase(spark, sf_dir):
     return G.rows(spark, 50_000).withColumn("x", G.staircase(1000, 10, 0, 100))
 
 
-@query()
+def _drawn(name: str, *seeds: int) -> str:
+    """The 64-bit xxHash of row_idx (8 bytes), begun from those of the seeds (4 bytes each) and 42, as columns in SQL: `name`, and
+    `name`_s with a sign. Unsigned 128-bit arithmetic modulo 2 ** 64."""
+    seed = 42
+    for s in seeds:
+        seed = xxhash.xxh64_intdigest(s.to_bytes(4, "little"), seed)
+    # fixed values: the primes of xxHash64
+    p1, p2, p3, p4, p5 = (f"{p}::uhugeint" for p in (11400714785074694791, 14029467366897019727, 1609587929392839161, 9650029242287828579, 2870177450012600261))
+    whole = f"{1 << 64}::uhugeint"
+    turned = lambda x, r: f"(({x} * {1 << r}::uhugeint) % {whole} + {x} // {1 << (64 - r)}::uhugeint)"
+    mixed = lambda x, r: f"xor({x}, {x} // {1 << r}::uhugeint)"
+    steps = (
+        f"(row_idx::uhugeint * {p2}) % {whole}",
+        f"xor(({turned(f'{name}0', 31)} * {p1}) % {whole}, ({seed}::uhugeint + {p5} + 8::uhugeint) % {whole})",
+        f"({turned(f'{name}1', 27)} * {p1} + {p4}) % {whole}",
+        f"({mixed(f'{name}2', 33)} * {p2}) % {whole}",
+        f"({mixed(f'{name}3', 29)} * {p3}) % {whole}",
+    )
+    columns = [f"{x} as {name}{i}" for i, x in enumerate(steps)]
+    return ", ".join([*columns, f"{mixed(f'{name}4', 32)} as {name}", f"case when {name} >= {1 << 63}::uhugeint then -({whole} - {name})::hugeint else {name}::hugeint end as {name}_s"])
+
+
+def _pmod(x: str, n: int) -> str:
+    return f"cast(({x}_s % {n} + {n}) % {n} as bigint)"
+
+
+def _in_unit(x: str) -> str:
+    return f"(cast({x} % {1 << 53}::uhugeint as double) + 1) / {float(1 << 53)!r}::double"
+
+
+def _turning(k: str, high: str, up: int, step: str) -> str:
+    return f"greatest(0, least({high}, case when {k} % {2 * up + 1} <= {up} then ({k} % {2 * up + 1}) * {step} else ({2 * up} - {k} % {2 * up + 1}) * {step} end))"
+
+
+#: Draws of rows: a, by the seed alone; b to d with one more number.
+DRAWS = f"with n as (select unnest(generate_series(0, 19999)) as row_idx), h as (select row_idx, {_drawn('a', 1)}, {_drawn('b', 1, 1)}, {_drawn('c', 1, 2)}, {_drawn('d', 1, 3)} from n) "
+
+
+@query(
+    DRAWS
+    + f"""select row_idx, cast(1400000000 + sum(case when {_in_unit('a')} > 0.05::double then 1 + {_pmod('c', 2)} else 0 end) over (order by row_idx) as bigint) as "TIME",
+  cast(case when row_idx % 10 = 0 then 1000000 else {_turning('((row_idx + 9) // 10)', '1000000', 100_001, '10')} end as int) as "PATTERN_A_INT",
+  cast(case when row_idx % 2 = 0 then 1000000 - {_pmod('a', 6)} else {_pmod('a', 6)} end as int) as "PATTERN_B_INT",
+  cast(floor({_in_unit('a')} * power(10::double, {_pmod('b', 5)})) / power(10::double, {_pmod('b', 5)}) as float) as "FLOAT_PREC_4",
+  cast(case when row_idx % 10 = 0 then 1000 else ((row_idx + 9) // 10) * 0.01::double end as float) as "PATTERN_A_FLOAT",
+  cast(case when row_idx % 2 = 0 then 10000000 - {_pmod('a', 6)} else {_pmod('a', 6)} end as float) as "PATTERN_B_FLOAT" from h"""
+)
 def generate_table(spark, sf_dir):
     return G.generate(spark, 20_000)
 
 
+@query(
+    DRAWS
+    + f""", o as (select *, cast({_in_unit('a')} < 0.1::double as int) as away from h),
+  k as (select *, coalesce(sum(1 - away) over (partition by row_idx // 5000 order by row_idx rows between unbounded preceding and 1 preceding), 0)::bigint as k from o)
+select row_idx, cast({_in_unit('a')} as float) as floats, {_in_unit('a')} as doubles, cast({_pmod('a', 900)} + 100 as int) as ints, cast({_pmod('a', 2)} as int) as stencil,
+  cast(floor({_in_unit('a')} * power(10::double, {_pmod('b', 4)})) / power(10::double, {_pmod('b', 4)}) as float) as precise,
+  cast(case when (row_idx // 100) % 2 = 0 then case when row_idx % 2 = 0 then 50 - {_pmod('a', 6)} else -50 + {_pmod('a', 6)} end
+    else 50 - 2 * least(row_idx % 100, 100 - row_idx % 100) end as double) as zigzag,
+  cast(10 + sum(case when {_in_unit('a')} > 0.5::double then 1 + {_pmod('c', 2)} else 0 end) over (order by row_idx) as bigint) as times,
+  cast(case when away = 1 then 100 + {_pmod('d', 20)} - 10 else {_turning('k', '100', 101, '1')} end as double) as outliers from k"""
+)
+def generate_series(spark, sf_dir):
+    """Every kind of random series, with batches that begin anew."""
+    df = G.outliers(G.time_steps(G.rows(spark, 20_000), 10, 0.5, batch=3000, name="times"), 0.1, 1, 0, 100, batch=5000, name="outliers")
+    more = {"floats": G.random_floats(), "doubles": G.random_doubles(), "ints": G.random_ints(), "stencil": G.random_stencil(), "precise": G.floats_of_precision(3), "zigzag": G.zigzag(100, -50, 50).cast("double")}
+    return df.select("row_idx", "times", F.col("outliers").cast("double").alias("outliers"), *(c.alias(n) for n, c in more.items()))
+
+
 @query("select 20000 as n, true as dense, true as times_step, true as ints_inside, true as floats_inside, true as digits_few, true as stencil_even, true as zigzag_inside, true as outliers_few, true as reruns_agree")
 def generator_facts(spark, sf_dir):
     """What holds of each kind of random series, by aggregates over all rows."""

@@ -34,11 +34,17 @@ def with_row_index(df: DataFrame, order: list[str], index: str = "row_idx") -> D
 
 
 def read_csv(spark: SparkSession, path: str, schema: T.StructType, index: str = "row_idx") -> DataFrame:
-    """Comma-separated lines without a title line, numbered in file order: by file, then by place in the file."""
+    """Comma-separated lines without a title line, numbered in file order: by file, then by place in the file. Nothing is
+    shuffled but one row per block of a file, as scans cut them: lines are counted by block, and ids of a scan grow by one
+    from line to line of a block. Both scans must cut files alike, else an error is raised."""
     lines = spark.read.csv(path, schema=schema, mode="FAILFAST")
-    numbered = lines.select("*", F.input_file_name().alias("_file"), F.monotonically_increasing_id().alias("_at"))
-    # ids of a scan grow along the splits of each file, so they order its lines
-    return with_row_index(numbered, ["_file", "_at"], index).select(index, *schema.names)
+    lines = lines.select("*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_at"))
+    blocks = lines.groupBy("_file", "_block").agg(F.count("*").alias("_n"), F.min("_at").alias("_least"))
+    before = Window.orderBy("_file", "_block").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = blocks.withColumn("_start", F.coalesce(F.sum("_n").over(before), F.lit(0)))
+    place = F.col("_at") - F.col("_least")
+    number = F.when(place.between(0, F.col("_n") - 1), F.col("_start") + place).otherwise(F.raise_error(F.lit("files were cut in another way while they were numbered")))
+    return lines.join(blocks, ["_file", "_block"], "left").select(number.alias(index), *schema.names)
 
 
 def write_csv(df: DataFrame, path: str, schema: T.StructType, index: str = "row_idx") -> None:

@@ -72,7 +72,7 @@ def time_steps(df: DataFrame, start: int = 0, flatness: float = 0.5, batch: int
     before = Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     sums = sums.select("_b", F.coalesce(F.sum("_s").over(before), F.lit(0)).alias("_before"))
     inside = F.sum("_g").over(Window.partitionBy("_b").orderBy("row_idx").rowsBetween(Window.unboundedPreceding, 0))
-    return df.withColumn("_in", inside).join(F.broadcast(sums), "_b").withColumn(name, F.lit(start) + F.col("_before") + F.col("_in")).drop("_b", "_g", "_in", "_before")
+    return df.withColumn("_in", inside).join(sums, "_b").withColumn(name, F.lit(start) + F.col("_before") + F.col("_in")).drop("_b", "_g", "_in", "_before")
 
 
 def outliers(df: DataFrame, probability: float, step: float = 1, low: float = 0, high: float = 1_000_000, batch: int = 1_000_000, seed: int = 1, name: str = "x") -> DataFrame:
