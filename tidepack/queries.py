@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import tempfile
 import uuid
 from collections.abc import Callable
@@ -17,8 +18,8 @@ from .operators import relational as R
 from .operators import statistics as S
 from .operators.codecs import CODECS
 from .operators.segments import column_types, compress_table, decompress_table, read_segments, write_segments
-from .plans.search import best_static, independent
-from .plans.tree import Plan
+from .plans.search import best_static, independent, static_plans
+from .plans.tree import Plan, predicted_size
 from .sources import generators as G
 from .sources.files import read_binary, read_csv, write_binary, write_csv
 from .sources.header import parse_header, read_header, write_header
@@ -504,11 +505,65 @@ def _planned(df: DataFrame, plan: Callable, kind: str) -> DataFrame:
     return df.groupBy("part").applyInArrow(run, "part int, plan string, size long, raw long")
 
 
-@query()
+#: The bytes of every static plan, in SQL: st holds what the encodings in front make of a part (s: which of them, w: bytes
+#: of a value), ch what the last encoding before afl hands to its children. An afl leaf takes 28 bytes and its words.
+HALVES = "(select 0 as h union all select 1)"
+HALF = "case when h = 1 then (v - (v & 4294967295)) // 4294967296 when (v & 4294967295) >= 2147483648 then (v & 4294967295) - 4294967296 else v & 4294967295 end"
+STATIC = (
+    U
+    + f"""
+, d as (select part, row_idx, x - lag(x) over {W} as v from e qualify v is not null),
+  whole as (
+    select 0 as s, part, row_idx as pos, x as v from e union all select 2, part, row_idx, v from d
+    union all select 3, part, row_idx, x - min(x) over (partition by part) from e),
+  st as (
+    select s, 8 as w, part, pos, v from whole
+    union all select case s when 0 then 1 when 2 then 4 else 5 end, 4, part, 2 * pos + h, {HALF} from whole, {HALVES}),
+  g as (select s, w, part, count(*) as n, max(v) - cast(0.1 as double) * (max(v) - min(v)) as high from st group by s, w, part),
+  f as (select s, w, part, v, count(*) as c, row_number() over (partition by s, part order by count(*) desc, v) as r from st group by s, w, part, v),
+  top as (select *, row_number() over (partition by s, part order by v) - 1 as code from f where r <= 4),
+  k as (select s, part, count(*) as k, sum(c) as t, length(bin(count(*) - 1)) as bits, 32 // length(bin(count(*) - 1)) as per from top group by s, part),
+  runs as (select s, w, part, v, count(*) as c from (select *, sum(new) over (partition by s, part order by pos) as run from (select *, case when v = lag(v) over (partition by s, part order by pos) then 0 else 1 end as new from st)) group by s, w, part, v, run),
+  coded as (select s, part, code, row_number() over (partition by s, part order by pos) - 1 as i from st join top using (s, part, v)),
+  packed as (select s, part, sum(code * cast(power(2, bits * (i % per)) as bigint)) as v from coded join k using (s, part) group by s, part, i // per),
+  ch as (
+    select s, part, 3 as o, 0 as child, w, v from st
+    union all select s, part, 1, 0, st.w, st.v from st join f using (s, part) where f.r = 1 and f.v <> st.v
+    union all select s, part, 2, 0, 4, c from runs union all select s, part, 2, 1, w, v from runs
+    union all select s, part, 4, cast(v >= high as int), w, v from st join g using (s, w, part)
+    union all select s, part, 0, 1, w, v from st anti join top using (s, part, v)
+    union all select s, part, 0, 0, 4, unnest([k, 0, t, 0]) from k
+    union all select s, part, 0, 0, 4, {HALF} from top, {HALVES} where w = 8 or h = 0
+    union all select s, part, 0, 0, 4, case when v >= 2147483648 then v - 4294967296 else v end from packed),
+  leaves as (select s, part, o, ceil((case when min(v) < 0 then 8 * w else length(bin(max(v)::bigint)) end) * count(*) / (8 * w)) * w as size from ch group by s, part, o, child, w),
+  pre as (select * from (values (0, 0, '', ''), (1, 12, 'floatToInt(', ')'), (2, 16, 'delta(', ')'), (3, 16, 'scale(', ')'), (4, 28, 'delta(floatToInt(', '))'), (5, 28, 'scale(floatToInt(', '))')) as v(s, before, head, tail)),
+  suf as (select * from (values (0, 'dict', 2), (1, 'const', 1), (2, 'rle', 2), (3, '', 1), (4, 'patch', 2)) as v(o, name, children)),
+  plans as (
+    select part, 1 + 5 * s + o as nr, head || case o when 3 then 'afl(none)' else name || '(' || repeat('afl(none), ', children - 1) || 'afl(none))' end || tail as plan,
+      before + case o when 3 then 0 when 2 then 12 else 9 + ceil(n / 8) + case o when 1 then w else 0 end end + 28 * children + coalesce((select sum(size) from leaves where leaves.s = g.s and leaves.part = g.part and leaves.o = suf.o), 0) as size
+    from g join pre using (s), suf
+    union all select part, 0, 'none', 16 + 8 * count(*) from e group by part)
+"""
+)
+
+
+@query(STATIC + "select part, arg_min(plan, (size, nr)) as plan, cast(min(size) as bigint) as size, cast(8 * any_value(n) as bigint) as raw from plans join (select part, count(*) as n from e group by part) using (part) group by part")
 def best_static_plan(spark, sf_dir):
     return _planned(users(spark, sf_dir), best_static, "time")
 
 
+def _all_static(x, d):
+    return [(str(p.fixed(d)), predicted_size(p.fixed(d), x, d)) for p in (Plan("none"), *static_plans())]
+
+
+@query(STATIC + "select part, plan, cast(size as bigint) as size from plans")
+def static_plan_sizes(spark, sf_dir):
+    """The bytes that each static plan is predicted to take."""
+    listed = _planned(users(spark, sf_dir), lambda x, d: (json.dumps(_all_static(x, d)), 0), "time")
+    each = F.explode(F.from_json("plan", "array<array<string>>")).alias("p")
+    return listed.select("part", each).select("part", F.col("p")[0].alias("plan"), F.col("p")[1].cast("long").alias("size"))
+
+
 def _searched(x, d):
     data, plan = independent(x, d)
     return plan, len(data)
