@@ -1,11 +1,12 @@
 """Licence scans by canonical digests, in DataFrame operations.
 
 A text is brought to a canonical form (case, copyright lines, punctuation, equivalent spellings, white space), and
-its digest is joined to the digests of known licences in the same form. The entire text is looked up by a hash
-join with the table of known digests, which is fixed and small; every line and every paragraph of it is looked up
-too, within its row, so notices inside a document are found without a shuffle.
+its digest is joined to the digests of known licences in the same form. One hash join with the table of known digests,
+which is fixed and small, looks up the entire text and every line and every paragraph of it, so notices inside a document are
+found too; what is found comes together by row.
 
-Null texts have no digest and no licence; so have texts with nothing left. Repeated rows each get their result.
+Null texts have no digest and no licence; so have texts with nothing left. Repeated rows each get their result. Very long
+texts are looked up whole. Empty tables give no rows. Other columns of docs are not looked at.
 """
 
 from __future__ import annotations
@@ -17,6 +18,8 @@ from pathlib import Path
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import pick
+
 #: Spellings that licences may exchange, and the form that is kept.
 EQUIVALENT = (
     ("acknowledgement", "acknowledgment"),
@@ -139,19 +142,17 @@ def known_digests(spark: SparkSession, known: tuple[tuple[str, str], ...] = KNOW
 def licences(docs: DataFrame, known: tuple[tuple[str, str], ...] = KNOWN) -> DataFrame:
     """One row per document: doc_id, digest of the entire text, whole_licence (what the entire text is), licences
     (names found as the text, a paragraph or a line of it, sorted and comma-joined; empty if none)."""
-    spark = docs.sparkSession
-    pairs = known_digests(spark, known)
-    table = spark.createDataFrame(pairs, "known_digest string, whole_licence string")
-    lines = docs.select("doc_id", canonical_lines(F.col("text")).alias("text"))
+    table = docs.sparkSession.createDataFrame(known_digests(docs.sparkSession, known), "known_digest string, licence string")
+    lines = pick(docs, "doc_id", "text").select(F.monotonically_increasing_id().alias("row"), "doc_id", canonical_lines(F.col("text")).alias("text"))
     # a text without blank lines is its own paragraph, which is looked up as the entire text
     paragraphs = F.when(F.rlike("text", F.lit("\n *\n")), F.transform(F.split("text", "\n *\n"), joined)).otherwise(F.array().cast("array<string>"))
-    parts = F.concat(paragraphs, F.transform(F.split("text", "\n"), lambda p: F.trim(p)))
-    names = F.create_map(*[F.lit(x) for pair in pairs for x in pair])
-    hits = F.filter(F.transform(parts, lambda p: F.md5(p.cast("binary"))), lambda d: d.isin([d for d, _ in pairs]))
-    df = lines.select("doc_id", digest(joined(F.col("text"))).alias("digest"), F.transform(F.coalesce(hits, F.array().cast("array<string>")), lambda d: names[d]).alias("parts"))
-    df = df.join(F.broadcast(table), F.col("digest") == F.col("known_digest"), "left")
-    found = F.array_sort(F.array_distinct(F.array_compact(F.array_append("parts", F.col("whole_licence")))))
-    return df.select("doc_id", "digest", "whole_licence", F.concat_ws(",", found).alias("licences"))
+    parts = F.transform(F.concat(paragraphs, F.transform(F.split("text", "\n"), lambda p: F.trim(p))), lambda p: F.md5(p.cast("binary")))
+    rows = lines.select("row", "doc_id", digest(joined(F.col("text"))).alias("digest"), F.coalesce(parts, F.array().cast("array<string>")).alias("parts"))
+    each = rows.select("row", "doc_id", "digest", F.posexplode(F.concat(F.array("digest"), "parts")).alias("place", "part"))
+    # the entire text is in place 0; of the rest only hits go on, so a task sends little more than a row a document
+    hits = each.join(F.broadcast(table), F.col("part") == F.col("known_digest"), "left").filter("place = 0 or licence is not null")
+    found = hits.groupBy("row", "doc_id", "digest").agg(F.max(F.when(F.col("place") == 0, F.col("licence"))).alias("whole_licence"), F.array_sort(F.collect_set("licence")).alias("names"))
+    return found.select("doc_id", "digest", "whole_licence", F.concat_ws(",", "names").alias("licences"))
 
 
 def sql_canonical(column: str) -> str:
