@@ -215,6 +215,25 @@ def test_settings(tmp_path, monkeypatch):
         Settings.load(None, other=1)
 
 
+def test_log_goes_to_a_file_in_its_pattern(spark, tmp_path):
+    import logging
+
+    from tidepack.config import Settings
+
+    (tmp_path / "c.ini").write_text(f"[tidepack]\nlog_level = INFO\nlog_file = {tmp_path}/t.log\nlog_bytes = 60\nlog_format = %(levelname)s %(message)s\n")
+    log = logging.getLogger("tidepack.cli")
+    try:
+        Settings.load(str(tmp_path / "c.ini")).apply(spark)
+        log.debug("unseen")
+        for k in range(6):
+            log.info("record %d", k)
+        assert (tmp_path / "t.log").read_text().splitlines()[-1] == "INFO record 5" and (tmp_path / "t.log.1").exists()
+    finally:
+        Settings(log_level="ERROR").apply(spark)
+    log.error("after")
+    assert "after" not in (tmp_path / "t.log").read_text()
+
+
 def test_concatenate_short_series(spark):
     frame = lambda *xs: spark.createDataFrame([(0, i, x) for i, x in enumerate(xs)], "part int, row_idx long, x long")
     out = R.concatenate(frame(7), frame(), frame(8, 9), frame(10))

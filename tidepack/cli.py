@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import argparse
+import logging
 
 from pyspark.sql import SparkSession
 
@@ -36,6 +37,9 @@ def main(args: list[str] | None = None, spark: SparkSession | None = None) -> in
     settings = Settings.load(o.config, batch=getattr(o, "batch", None), mode=getattr(o, "mode", None))
     spark = settings.apply(spark or SparkSession.builder.appName("tidepack").getOrCreate())
 
+    log = logging.getLogger("tidepack.cli")
+    log.info("%s: %s", o.command, settings)
+
     def write(df, schema, path):
         if o.format == "csv":
             files.write_csv(df, path, schema)
@@ -56,9 +60,9 @@ def main(args: list[str] | None = None, spark: SparkSession | None = None) -> in
     else:
         segments = read_segments(spark, o.input)
         segments.select("column", "part", "n_rows", "raw_bytes", "enc_bytes", "ratio", "plan").orderBy("column", "part").show(1000, False)
+    log.info("%s: done", o.command)
     return 0
 
 
-
 if __name__ == "__main__":
     raise SystemExit(main())
