@@ -52,3 +52,12 @@ def test_entire_texts_with_and_without_title(spark):
         want[rows[-1][0]] = name
     got = {r.doc_id: r.whole_licence for r in licences(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == want and {"Apache-2.0", "GPL-2.0", "GPL-3.0", "LGPL-3.0", "MPL-2.0", "CC0-1.0", "Unlicense"} <= set(want.values())
+
+
+def test_null_ids_clashing_columns_and_many_hits(spark):
+    lines = "\n".join(["Released under the MIT License.", "Licensed under CC BY 4.0."] * 3000)
+    rows = [(None, MIT, 7, "x"), (None, MIT, 7, "x"), (None, None, None, None), (1, lines, 1, "y"), (1, "Released under the MIT License.", 1, "y")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, row int, licence string").selectExpr("*", "licence as part", "row as place", "licence as known_digest")
+    got = licences(docs)
+    assert got.columns == ["doc_id", "digest", "whole_licence", "licences"]
+    assert sorted((r.doc_id or 0, r.whole_licence or "", r.licences) for r in got.collect()) == [(0, "", ""), (0, "MIT", "MIT"), (0, "MIT", "MIT"), (1, "", "CC-BY-4.0,MIT"), (1, "MIT", "MIT")]
